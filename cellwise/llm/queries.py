@@ -10,6 +10,7 @@ from cellwise.llm.common import table
 from cellwise.llm.decontamination import overlap_report
 from cellwise.llm.packing import pack
 from cellwise.llm.sharding import assign_shards
+from cellwise.llm.simhash import near_duplicates
 
 
 def tokenizer_path() -> str:
@@ -30,10 +31,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_sharding": op3_sharding,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
