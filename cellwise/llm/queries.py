@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellwise.llm.common import table
 from cellwise.llm.decontamination import overlap_report
+from cellwise.llm.html_text import extract_pages
+from cellwise.llm.licenses import scan_licenses, scan_sql
+from cellwise.llm.media import media_features, text_media
 from cellwise.llm.packing import pack
+from cellwise.llm.quality import score
 from cellwise.llm.sharding import assign_shards
 from cellwise.llm.simhash import near_duplicates
 
@@ -31,6 +35,22 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(text_media(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -39,7 +59,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_license_scans": op5_license_scans,
+    "op6_media_columns": op6_media_columns,
+    "op7_quality_classifier": op7_quality_classifier,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_license_scans": scan_sql()}
