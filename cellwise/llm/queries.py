@@ -12,11 +12,16 @@ from cellwise.llm.html_text import extract_pages
 from cellwise.llm.licenses import scan_licenses, scan_sql
 from cellwise.llm.media import media_features, text_media
 from cellwise.llm.packing import pack
+from cellwise.llm.pii import replace_pii
 from cellwise.llm.quality import score
 from cellwise.llm.sharding import assign_shards
 from cellwise.llm.simhash import near_duplicates
 
 
+#: Surrogates are as secret as this key; a production run sets its own.
+PII_KEY = "surrogates-of-the-queries"
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -51,6 +56,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents", "doc_id", "text"), PII_KEY, count="n_replaced").select("doc_id", "n_replaced", "text")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -63,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scans": op5_license_scans,
     "op6_media_columns": op6_media_columns,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_pii": op8_pii,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
