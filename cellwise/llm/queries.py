@@ -16,6 +16,7 @@ from cellwise.llm.pii import replace_pii
 from cellwise.llm.quality import score
 from cellwise.llm.sharding import assign_shards
 from cellwise.llm.simhash import near_duplicates
+from cellwise.llm.substring_dedup import remove_repeats
 
 
 #: Surrogates are as secret as this key; a production run sets its own.
@@ -64,6 +65,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_pii": op8_pii,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_license_scans": scan_sql()}
