@@ -89,6 +89,7 @@ class GrayIndex:
         self.order = np.lexsort((gray_rank(fps[:, 0]), group))
         self.fps, group = fps[self.order], group[self.order]
         lowest, highest, of = self.fps, self.fps, group
+        self.group, self.settled = group, None
         self.levels = []  # (AND, OR, first child, children) of each node; level 0 stands over the fingerprints
         while True:
             starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=np.int64)
@@ -111,9 +112,31 @@ class GrayIndex:
         keep = x <= y
         return x[keep], y[keep]
 
+    def neighbours(self, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows that follow each other in Gray order and differ in at most `limit` bits."""
+        near = np.bitwise_count(self.fps[1:] ^ self.fps[:-1]).sum(axis=1, dtype=np.int64) <= limit
+        at = np.flatnonzero(near & (self.group[1:] == self.group[:-1]))
+        return self.order[at], self.order[at + 1]
+
+    def settle(self, label: np.ndarray) -> None:
+        """Nodes all of whose rows have one label need no comparison with nodes of that label: -1 marks the others."""
+        low = high = label[self.order]
+        self.settled = []
+        for _, _, first, _ in self.levels:
+            if len(first):
+                low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            self.settled.append(np.where(low == high, low, -1))
+
+    def _open(self, level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if not self.settled:
+            return np.ones(len(x), dtype=bool)
+        a = self.settled[level]
+        return (a[x] < 0) | (a[x] != a[y])
+
     def links(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of rows (by their place in fps as given) that differ in at most `limit` bits, in batches."""
         roots = np.arange(len(self.levels[-1][2]))
+        roots = roots[self._open(len(self.levels) - 1, roots, roots)]
         stack = [(len(self.levels) - 1, roots[i : i + PAIRS_AT_ONCE], roots[i : i + PAIRS_AT_ONCE]) for i in range(0, len(roots), PAIRS_AT_ONCE)]
         while stack:
             level, a, b = stack.pop()
@@ -128,7 +151,7 @@ class GrayIndex:
             low, high = self.levels[level - 1][:2]
             # Bits that all below one node have and all below the other lack, on either side: no pair differs in fewer.
             apart = np.bitwise_count((low[x] & ~high[y]) | (low[y] & ~high[x])).sum(axis=1, dtype=np.int64)
-            near = apart <= limit
+            near = (apart <= limit) & self._open(level - 1, x, y)
             x, y = x[near], y[near]
             stack += [(level - 1, x[i : i + PAIRS_AT_ONCE], y[i : i + PAIRS_AT_ONCE]) for i in range(0, len(x), PAIRS_AT_ONCE)]
 
@@ -161,7 +184,13 @@ def _forest(batches: Iterator[pa.RecordBatch], words: int, limit: int) -> Iterat
         return
     nodes, of = np.unique(rep, return_inverse=True)
     parent = np.arange(len(nodes))
-    for x, y in GrayIndex(fps, group).links(limit):
+    index = GrayIndex(fps, group)
+    x, y = index.neighbours(limit)  # joins most near copies, so that their groups need not be searched pair by pair
+    unite(parent, of[x], of[y])
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    index.settle(parent[of])
+    for x, y in index.links(limit):
         unite(parent, of[x], of[y])
     child = np.flatnonzero(parent != np.arange(len(nodes)))
     if len(child):
@@ -213,3 +242,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, fingerprint (16 hex digits) and component_id: three-word shingles, links at 2 bits; cases as above."""
     found = near_duplicate_components(docs, doc_id=doc_id, text=text)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: For similarity: four fingerprints of 64 bits, of which two are indexed under every two of eight blocks of bits.
+SIMILAR_WORDS, SIMILAR_MASKS = 4, [*block_masks(8, 2, 0), *block_masks(8, 2, 1)]
+
+
+def bits_for(similarity: float, words: int = SIMILAR_WORDS) -> int:
+    """How many bits sets of shingles of a Jaccard similarity may differ in: the expectation and one standard deviation."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(64 * words * share + (64 * words * share * (1 - share)) ** 0.5)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near copies, with all columns: of each component of links, the row with the smallest id stays.
+
+    Similarity of word shingles is estimated by 256 bits. Two texts of similarity 0.9 share a node of the index in over
+    99 of 100 cases, at 0.8 in about 95; links at the limit's edge are as uncertain as SimHash is. Rows with a null id stay. Of rows
+    that share the id that stays, one does, with the smallest text.
+    """
+    found = near_duplicate_components(docs.where(F.col(doc_id).isNotNull()), shingle, bits_for(similarity), SIMILAR_WORDS, SIMILAR_MASKS, doc_id, text)
+    gone = found.where("component <> id").select(F.col("id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    # Only rows of an id that stands twice are compared.
+    twice = docs.groupBy(doc_id).agg(F.count("*").alias("n")).where(f"n > 1 AND {doc_id} IS NOT NULL").select(F.col(doc_id).alias("_twice"))
+    single = kept.join(twice, F.col(doc_id) == F.col("_twice"), "left_anti")
+    several = kept.join(twice, F.col(doc_id) == F.col("_twice"), "left_semi")
+    one = several.groupBy(F.col(doc_id).alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias("_row"))
+    return single.unionByName(one.select("_row.*"))
