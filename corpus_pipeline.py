@@ -1,8 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near-duplicates, benchmark passages, personal data, packing."""
 
-STAGES = []
-ORACLE_SQL = None
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellwise.llm.common import table
+from cellwise.llm.decontamination import without_contaminated
+from cellwise.llm.packing import pack
+from cellwise.llm.pii import replace_pii
+from cellwise.llm.quality import accepted
+from cellwise.llm.queries import PII_KEY, tokenizer_path
+from cellwise.llm.simhash import one_of_each
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return accepted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of about 0.8 or more."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten words of a benchmark item in a row, or all of a shorter one, go."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become surrogates; n_chars follows the text."""
+    replaced = replace_pii(docs, PII_KEY)
+    return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences of at most 2048 tokens."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+
+#: The classifier, SimHash, surrogates and the tokenizer are not SQL; the stages are tested against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table documents."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
