@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,33 +52,76 @@ class BestFit:
         return bin_id, self.capacity - free
 
 
+def _bytes_of_symbols() -> dict[str, int]:
+    """The byte that each symbol of a byte-level vocabulary stands for: printable ones themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _ranked(tokenizer_json: dict) -> dict[bytes, int] | None:
+    """The vocabulary as bytes by rank, if ids follow the merges' order; else None."""
+    model, of = tokenizer_json["model"], _bytes_of_symbols()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    vocabulary = model["vocab"]
+    if any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    special = {t["content"] for t in tokenizer_json.get("added_tokens", ())}
+    return {bytes(of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+
+
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, by a tokenizers file.
+    """Token ids as little-endian 32-bit bytes, by a tokenizers file of a byte-level BPE.
 
-    Byte-level BPE never merges over a boundary before a single space, so a text is split there and each chunk's ids are
-    remembered; texts with longer runs of white space are encoded whole. The memory is emptied at `most` chunks.
+    Such a BPE never merges over a boundary before a single space, so a text is split there and each chunk's ids are
+    remembered; texts with longer runs of white space are encoded whole. New chunks are merged by the file's own
+    vocabulary as ranks where its ids allow that, which takes half the time. The memory is emptied at `most` chunks.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 400_000):
+    def __init__(self, tokenizer_path: str, most: int = 500_000):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        with open(tokenizer_path, encoding="utf-8") as f:
+            ranks = _ranked(json.load(f))
+        self.ranked = ranks and tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
         self.most = most
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def ids(self, text: str) -> bytes:
+        if self.ranked:
+            return array("I", self.ranked.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if UNSAFE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list(set().union(*(s for s in split if s)).difference(self.known))
-        for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        known, out = self.known, []
+        for text in texts:
+            if "\0" in text or UNSAFE.search(text):
+                out.append(self.ids(text))
+                continue
+            chunks = text.replace(" ", "\0 ").split("\0")
+            try:
+                out.append(b"".join(map(known.__getitem__, chunks)))
+            except KeyError:
+                if len(known) > self.most:
+                    known.clear()
+                for chunk in set(chunks).difference(known):
+                    known[chunk] = self.ids(chunk)
+                out.append(b"".join(map(known.__getitem__, chunks)))
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_path: str) -> Encoder:
+    """One encoder for each file in a worker process; workers serve many tasks."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = Encoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -86,12 +131,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer_path: str, capacity: int, separator: int, texts_at_once: int = 256) -> Iterator[pa.RecordBatch]:
-    encoder, end = Encoder(tokenizer_path), np.array([separator], dtype="<u4").tobytes()
+    encode, end = encoder(tokenizer_path).encode, np.array([separator], dtype="<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, texts_at_once):
             part = batch.slice(at, texts_at_once)
             out: list[list] = [[] for _ in range(5)]
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                 ids += end
                 for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     for values, v in zip(out, (doc_id, i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
