@@ -129,7 +129,7 @@ def text_lines(html: str) -> list[Line]:
                 if name not in BLOCKS and any(x[0] in BLOCKS for x in open_[place:]):
                     continue  # an inline end tag does not end blocks
                 close(place)
-        elif name not in VOID and not m["attributes"].endswith("/"):
+        elif name not in VOID:
             if name in ENDS_P:
                 place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == "p"), None)
                 if place is not None and not any(x[0] in BLOCKS and x[0] != "p" for x in open_[place + 1 :]):

@@ -172,9 +172,10 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _forest(batches: Iterator[pa.RecordBatch], words: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Links of the partition's groups, as a spanning forest: fewer edges than rows, whatever the groups' sizes."""
-    got = pa.Table.from_batches(list(batches))
-    if not got.num_rows:
+    read = [b for b in batches if b.num_rows]
+    if not read:
         return
+    got = pa.Table.from_batches(read)
     columns = [got.column(i).to_numpy() for i in range(got.num_columns)]
     rep, fps = columns[0], np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)
     _, group, size = np.unique(columns[1], return_inverse=True, return_counts=True)

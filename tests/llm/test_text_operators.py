@@ -1,0 +1,262 @@
+"""Packing, decontamination, sharding, licences, quality and personal data against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cellwise.llm import queries
+from cellwise.llm.decontamination import overlap_report, without_contaminated, without_spans
+from cellwise.llm.licenses import scan_licenses
+from cellwise.llm.packing import BestFit, Encoder, cut, pack
+from cellwise.llm.pii import PATTERNS, distinct_surrogates, replace_pii
+from cellwise.llm.quality import accepted, score
+from cellwise.llm.sharding import assign_shards
+
+from edge_rows import EDGES
+
+A_TO_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+# Packing.
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(queries.tokenizer_path())
+    found.encode_special_tokens = True
+    return found
+
+
+def check_packing(rows, texts, tokenizer, capacity=2048):
+    expected = []
+    for doc_id, text in texts:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % capacity or capacity
+        for i, (a, b) in enumerate([(0, first), *((s, s + capacity) for s in range(first, len(ids), capacity))]):
+            expected.append((doc_id, i, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())))
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=repr) == sorted(expected, key=repr)
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for placed in sequences.values():
+        placed.sort()
+        assert placed[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(placed, placed[1:], strict=False)) and sum(n for _, n in placed) <= capacity
+    total = sum(e[3] for e in expected)
+    assert len(sequences) <= 1.02 * total / capacity + 2
+
+
+def test_packing(spark, data_dir, documents, tokenizer):
+    check_packing(queries.op1_best_fit_packing(spark, data_dir).collect(), documents, tokenizer)
+
+
+def test_packing_edges(edges, none, tokenizer):
+    check_packing(pack(edges, queries.tokenizer_path()).collect(), EDGES, tokenizer)
+    assert pack(none, queries.tokenizer_path()).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from(" \n\t\r  aAé'sll1²½漢😀!.\0<|>")))
+def test_chunks_are_encoded_as_the_whole(text):
+    global _ENCODER
+    try:
+        encoder = _ENCODER
+    except NameError:
+        encoder = _ENCODER = Encoder(queries.tokenizer_path())
+    assert encoder.encode([text])[0] == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60), st.integers(1, 5))
+def test_best_fit(lengths, open_bins):
+    bins, fill = BestFit(20, open_bins), defaultdict(int)
+    for n in lengths:
+        b, at = bins.place(n)
+        assert at == fill[b] and at + n <= 20
+        fill[b] += n
+        assert bins.n_open <= open_bins
+    assert set(fill) == set(range(bins.n_bins))
+
+
+def test_cut():
+    assert cut(5, 4) == [(0, 1), (1, 4)] and cut(4, 4) == [(0, 4)] and cut(1, 4) == [(0, 1)]
+
+
+# Decontamination.
+
+
+def words_of(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(A_TO_Z))
+
+
+def brute_overlaps(texts, items):
+    grams = defaultdict(set)
+    for item, text in items:
+        w = words_of(text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            grams[tuple(w[i : i + 10])].add(str(item))
+    out = []
+    for doc_id, text in texts:
+        w, hit, found = words_of(text), set(), set()
+        for n in {len(g) for g in grams}:
+            for i in range(len(w) - n + 1):
+                if at := grams.get(tuple(w[i : i + n])):
+                    hit |= set(range(i, i + n))
+                    found |= at
+        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+ITEMS = [(10, "the quick BROWN fox; jumps over the lazy dog and then it rests"), (2, "tie"), (3, ""), (4, None), (5, "word " * 12), (6, "some words in it"), (7, "漢字 😀")]
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_overlaps(spark, edges, none, bound):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = overlap_report(edges, items, set_bound=bound)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_overlaps(EDGES, ITEMS)
+    assert overlap_report(none, items, set_bound=bound).count() == 0
+    assert not overlap_report(edges, items.where("false"), set_bound=bound).where("contaminated").count()
+
+
+def test_removal(spark, edges):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = without_contaminated(edges, items)
+    assert kept.columns == edges.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((d for d, *_, bad in brute_overlaps(EDGES, ITEMS) if not bad), key=repr)
+    spans = {r["doc_id"]: r["text"] for r in without_spans(edges, items).collect()}
+    assert spans[0].split() == ". for a while under the old oak tree.".split()[1:] or "quick" not in spans[0]
+    assert spans[1] is None and spans[2] == "" and spans[8] == ""
+
+
+# Sharding.
+
+
+def test_sharding(edges, none, documents, spark):
+    got = assign_shards(edges).collect()
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=repr) == sorted(((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in EDGES), key=repr)
+    for shard in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+    assert len({r["shard"] for r in got if r["doc_id"] == 8}) == 1
+    assert all(r["grown_shard"] in (r["shard"], 24) for r in got)
+    assert assign_shards(none).count() == 0
+
+
+def test_shards_follow_weights(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    n = {r["shard"]: r["count"] for r in assign_shards(docs, weights={0: 1.0, 1: 3.0}).groupBy("shard").count().collect()}
+    assert abs(n[1] / 4000 - 0.75) < 0.03
+    before = assign_shards(docs, weights={0: 1.0, 1: 1.0}).select("doc_id", "shard")
+    after = assign_shards(docs, weights={0: 1.0, 1: 2.0}).select("doc_id", F.col("shard").alias("now"))
+    assert before.join(after, "doc_id").where("shard <> now AND now <> 1").count() == 0
+
+
+# Licences.
+
+
+def test_licences(spark, edges, none):
+    texts = {
+        1: "Some text. Licensed under the Apache License, Version 2.0.\nMore. ALL RIGHTS RESERVED!",
+        2: "Licensed under the Apache License, Version 2.0;\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        3: "He talked about the MIT License all day. Released under the MIT License.",
+        4: None,
+        5: "",
+    }
+    got = {r["doc_id"]: (r["rules"], r["licenses"], r["n_known"]) for r in scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("apache-2-line,all-rights", "Apache-2.0,LicenseRef-all-rights-reserved", 2), 2: ("apache-2-header", "Apache-2.0", 4), 3: ("mit-line", "MIT", 1), 4: ("", "", 0), 5: ("", "", 0)}
+    assert scan_licenses(edges).count() == len(EDGES) and scan_licenses(none).count() == 0
+
+
+# Quality.
+
+
+def test_quality_on_held_out_labels(spark, data_dir):
+    import duckdb
+
+    folder = data_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
+    verdict = {r["doc_id"]: r["keep"] for r in score(docs, labels.where(~held)).collect()}
+    truth = [(r["doc_id"], r["quality"] > 0) for r in labels.where(held).collect()]
+    assert len(truth) > 50 and np.mean([verdict[d] == good for d, good in truth]) > 0.95
+    assert len(verdict) == duckdb.sql(f"SELECT count(*) FROM '{folder}/documents.parquet'").fetchall()[0][0]
+
+
+def test_quality_edges(spark, edges, none):
+    labels = spark.createDataFrame([(0, 1, 0), (7, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    assert score(edges, labels).count() == len(EDGES)
+    assert score(none, labels).count() == 0
+    unlabelled = score(edges, labels.where("false"))
+    assert {r["p_document"] for r in unlabelled.collect()} == {0.5}
+    assert accepted(edges, labels).columns == edges.columns
+    assert accepted(edges, labels.where("false")).count() == len(EDGES)
+    bare = edges.withColumn("source", F.lit(None).cast("string"))
+    assert score(bare, labels).count() == len(EDGES)
+
+
+def test_sites_shrink(spark):
+    good, bad = "A plain line of prose that says a thing or two.", "buy | now | %%% | $$$ | cheap | %%%"
+    data = [(i, good if i % 2 else bad, "en", f"h{i % 2}" if i < 40 else f"rare{i}") for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    p = {r["doc_id"]: (r["p_host"], r["p_path"]) for r in score(docs, labels).collect()}
+    assert p[1][0] > p[41][0] > p[40][0] > p[0][0]
+
+
+# Personal data.
+
+FOUND = re.compile("|".join(x.replace(r"\p{L}", "a-zA-ZÀ-ÿ").replace(r"\p{N}", "0-9").replace(r"\p{Lu}", "A-Z") for k, x in PATTERNS.items() if k != "person"))
+
+
+def test_surrogates(spark, edges, none):
+    texts = [
+        (1, "Write to ann.lee@mail.example.com or call +1 (017) 555-7713 now. Mrs. Anna Lee knows."),
+        (2, "call +1 017 555 7713, ip 10.0.0.255, card 4952935900253052 and 4952 9359 0025 3052, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\""),
+        (3, "ANN.LEE@MAIL.EXAMPLE.COM and Mr John Smith, Mrs Anna Lee; Госпожа Анна Иванова"),
+        (4, None),
+        (5, ""),
+        (6, "nothing here, not even 3 or 4.5"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in replace_pii(docs, "k", count="n").collect()}
+    again = {r["doc_id"]: r["text"] for r in replace_pii(docs.repartition(3), "k").collect()}
+    assert {d: t for d, (t, _) in got.items()} == again
+    assert [got[d][1] for d in range(1, 7)] == [3, 5, 4, 0, 0, 0]
+    assert got[4][0] is None and got[5][0] == "" and got[6][0] == texts[5][1]
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    assert "ann.lee" not in got[1][0] and "7713" not in got[1][0] + got[2][0]
+    phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1][0])[0]
+    assert re.sub(r"\D", "", phone) == re.sub(r"\D", "", re.search(r"\+1 \d{3} \d{3} \d{4}", got[2][0])[0])
+    cards = re.search(r"card (\d{16}) and (\d{4} \d{4} \d{4} \d{4}),", got[2][0])
+    assert cards[1] == cards[2].replace(" ", "") != "4952935900253052"
+    assert shape(re.search(r"ip ([\d.]+)", got[2][0])[1]) == "99.9.9.999" and re.search('"[0-9a-f]{40}"', got[2][0])
+    mail = re.search(r"\S+@\S+", got[1][0])[0]
+    assert mail.upper() == got[3][0].split()[0]
+    name = re.search(r"Mrs\. (\w+ [\w-]+) knows", got[1][0])[1]
+    assert f"Mrs {name};" in got[3][0] and name != "Anna Lee"
+    assert re.search(r"Госпожа [А-Яа-яёЁ]+ [А-Яа-яёЁ-]+$", got[3][0])
+    assert replace_pii(edges, "k").columns == edges.columns and replace_pii(edges, "k").count() == len(EDGES)
+    assert replace_pii(none, "k").count() == 0
+
+
+def test_collisions_are_resolved(spark):
+    entities = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)] + [("person", f"f:p{i} q") for i in range(700)], "kind string, entity string")
+    got = distinct_surrogates(entities, "k").collect()
+    assert len(got) == 1000 == len({(r["kind"], r["surrogate"]) for r in got})
+    assert not {r["surrogate"] for r in got} & {f"{i:03d}" for i in range(300)}
+
+
+def test_nothing_is_left(spark, data_dir, documents):
+    got = {r["doc_id"]: r["text"] for r in queries.op8_pii(spark, data_dir).collect()}
+    before = {m for _, t in documents for m in FOUND.findall(t or "")}
+    assert before and not {m for t in got.values() for m in FOUND.findall(t or "")} & before
+    assert all(got[d] == t for d, t in documents if not FOUND.search(t or "") and not re.search("(Mr|Mrs|Ms|Miss|Sir|Herr|Frau|Sra?)\\b", t or ""))
