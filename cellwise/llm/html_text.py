@@ -36,6 +36,8 @@ MARKS = frozenset(
         "sidenav signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets alert toc"
     ).split()
 )
+#: With one of these in it, a compound name is about the page's layout ("has-sidebar", "ad-free"), unless it begins with a mark.
+LAYOUT = frozenset("no not has with without main content layout".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 TOKEN = re.compile(
@@ -50,6 +52,16 @@ HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 WORD = re.compile(r"[a-z]+")
 
 
+def _marks(token: str) -> bool:
+    """Whether a class or id names boilerplate: as a whole, or as a compound of words such as "site-footer"."""
+    words = WORD.findall(token)
+    if token in MARKS:
+        return True
+    if MARKS.isdisjoint(words) or "free" in words:
+        return False
+    return words[0] in MARKS or LAYOUT.isdisjoint(words)
+
+
 def is_boilerplate(name: str, attributes: str) -> bool:
     """Whether an element's name, class, id, role or hiding marks it as no part of an article."""
     if name in BOILERPLATE:
@@ -60,7 +72,7 @@ def is_boilerplate(name: str, attributes: str) -> bool:
         key, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDING.search(value) or key == "role" and value.strip() in ROLES:
             return True
-        if key in ("class", "id") and any(token in MARKS or not MARKS.isdisjoint(WORD.findall(token)) for token in value.split()):
+        if key in ("class", "id") and any(map(_marks, value.split())):
             return True
     return False
 

@@ -40,6 +40,7 @@ LONG = "A paragraph of an article, which is long enough to make a surge of text
         (f"<ul><li><a href=/>Home</a><li><a href=/x>About us</a></ul><p>{LONG}</p><script>var x = '<p>{LONG}</p>'</script>", LONG),
         (f"<main><p><b>{LONG}<br><p>After</p></main><aside>side</aside>", f"{LONG}\nAfter"),
         (f"<article><p>{LONG}</p><section class='reader-comments'><p>First!</p></section><form>name</form></article>", LONG),
+        (f"<div class='page has-sidebar ad-free'><p>{LONG}</p><div class='sidebar-content'>x</div><div id='site-footer'>y</div></div>", LONG),
         (f"<article><p>{LONG} a < b &copy; &#8364; &bogus;</p><style>p{{}}</style></article", f"{LONG} a < b © € &bogus;"),
     ],
 )
