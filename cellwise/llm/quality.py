@@ -94,14 +94,14 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ones by a hash of the id). p_host: the mean of p_document over the host's rows, shrunk toward the mean of all.
     p_path: that of the host and path, without the row itself, shrunk toward p_host. How strongly is estimated from the
     spread between sites. quality: p_document's log odds plus `site_weight` times how far p_path's differ from those of
-    all rows. keep: quality of `threshold` at least.
+    all rows. An id labelled twice counts by its larger label. keep: quality of `threshold` at least.
 
     Sites are aggregated before the shuffle, so a host with any share of the rows is a row for each task. A null text is
     empty; a null host or path is a site named by the empty string; null and repeated ids are rows like any other. Without labels of
     both classes p_document is 0.5 for all. An empty table gives no rows. Other columns are not carried.
     """
     read = durable(features(docs, doc_id, text, host, path))
-    chosen = labels.select(F.col("doc_id").alias("labelled"), F.col(label).alias("y")).where("labelled IS NOT NULL AND y IS NOT NULL").dropDuplicates(["labelled"])
+    chosen = labels.select(F.col("doc_id").alias("labelled"), F.col(label).alias("y")).where("labelled IS NOT NULL AND y IS NOT NULL").groupBy("labelled").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     rows = read.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select(*FEATURES, "y").dropDuplicates().limit(sample).collect()  # `sample` rows at most
     data = np.array(rows, dtype=float).reshape(-1, len(FEATURES) + 1)
