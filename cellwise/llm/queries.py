@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellwise.llm import oracles
 from cellwise.llm.common import table
 from cellwise.llm.decontamination import overlap_report
 from cellwise.llm.html_text import extract_pages
@@ -82,4 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_license_scans": scan_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op3_sharding": oracles.SHARDING,
+    "op5_license_scans": scan_sql(),
+}

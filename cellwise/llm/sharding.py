@@ -33,24 +33,27 @@ def rendezvous_shard(key: Column, weights: Mapping[int, float]) -> Column:
     return (-best["order"]).cast("int")
 
 
-def number_within(df: DataFrame, group: str, order: list[str], slot: str, rows_per_bucket: int = 50_000) -> DataFrame:
-    """Adds `slot`: numbers 0, 1, 2, ... within each value of `group`, in order of a hash of `order`.
+def number_within(df: DataFrame, group: str, groups: int, key: str, ties: list[str], slot: str, rows_per_bucket: int = 50_000) -> DataFrame:
+    """Adds `slot`: numbers 0, 1, 2, ... within each value of `group`, (of which there are `groups` at most), in
+    order of the key's MD5, then the key and `ties`.
 
-    One group may hold any share of the rows, so it is split by hash into buckets of about `rows_per_bucket` rows. The
-    buckets' counts, one row each, give every bucket its first number. Rows equal in all of `order` are interchangeable.
+    One group may hold any share of the rows, so it is cut into ranges of the digest of about `rows_per_bucket` rows. Their
+    counts, one row each, give every range its first number; slots do not depend on how many there are. Rows equal in the
+    key and all ties are interchangeable.
     """
     total = df.count()
     buckets = max(1, -(-total // rows_per_bucket))
-    mixed = F.xxhash64(*order)
-    cut = df.withColumn("_bucket", F.pmod(mixed, F.lit(buckets)).cast("int"))
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    mixed = F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_HEX), 16, 10).cast("long")
+    cut = df.withColumn("_mixed", mixed).withColumn("_bucket", F.shiftright(F.shiftright("_mixed", 22) * F.lit(buckets).cast("long"), 30))
     counts = cut.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    # A window per group over one row for each bucket: rows / rows_per_bucket of them.
+    # A window per group over one row for each range: rows / rows_per_bucket of them.
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    local = Window.partitionBy(group, "_bucket").orderBy(mixed, *order)
+    local = Window.partitionBy(group, "_bucket").orderBy("_mixed", F.col(key).asc_nulls_last(), *ties)
     numbered = cut.withColumn("_local", F.row_number().over(local) - 1)
-    joined = numbered.join(broadcast_if_small(first, buckets * 64), (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn(slot, (F.col("_first") + F.col("_local")).cast("long")).drop("_bucket", "_g", "_b", "_first", "_local")
+    joined = numbered.join(broadcast_if_small(first, buckets * groups), (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
+    return joined.withColumn(slot, (F.col("_first") + F.col("_local")).cast("long")).drop("_mixed", "_bucket", "_g", "_b", "_first", "_local")
 
 
 def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: Mapping[int, float] | None = None, grow_by: float | None = 1.0) -> DataFrame:
@@ -71,7 +74,7 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", weig
         rendezvous_shard(F.col(key), weights).alias("shard"),
         (rendezvous_shard(F.col(key), weights | {max(weights) + 1: grow_by}) if grow_by else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    numbered = number_within(out, "shard", [key, "size", "text_crc32"], "slot")
+    numbered = number_within(out, "shard", len(weights), key, ["size", "text_crc32"], "slot")
     return numbered.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
