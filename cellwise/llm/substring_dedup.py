@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import ensure_checkpoint_dir
+from cellwise.llm.common import ensure_checkpoint_dir, release
 from cellwise.llm.suffix_array import permuted_prefixes, suffix_array
 
 GRAM = 16
@@ -77,8 +77,10 @@ def _joined(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
 
 
 def _split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
-    first = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else []
+    first = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
     for at, end in zip(first, [*first[1:], len(order)], strict=True):
         yield int(part[order[at]]), order[at:end]
 
@@ -86,76 +88,157 @@ def _split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 # 1. Equal texts become one class: first within a batch, then within the bucket that their digest names.
 
 
+def _squeezed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _pieces(squeezed: bytes, sizes: np.ndarray) -> list[bytes]:
+    """What was joined and squeezed, apart again."""
+    data = pa.decompress(squeezed, int(sizes.sum()), codec="zstd", asbytes=True)
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [data[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+
+
+#: The different texts of a batch that go to one bucket, squeezed together; how often each stands there, and the rows' ids.
+PARCELS = "bucket long, texts binary, sizes binary, counts binary, ids binary"
+
+
 def _batch_classes(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[bytes, list[int]] = {}
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found.setdefault((text.as_py() or "").encode(), []).append(doc_id)
-        digests = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in found]
-        yield pa.RecordBatch.from_arrays([pa.array([d % buckets for d in digests], pa.int64()), pa.array(list(found), pa.binary()), pa.array([_blob(np.array([NO_ID if i is None else i for i in ids]), "<i8") for ids in found.values()], pa.binary())], names=["bucket", "text", "ids"])
+            found.setdefault((text.as_py() or "").encode(), []).append(NO_ID if doc_id is None else doc_id)
+        texts = list(found)
+        digests = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") % buckets for t in texts], dtype=np.int64)
+        for bucket, at in _split_by(digests):
+            own = [texts[i] for i in at.tolist()]
+            ids = [found[t] for t in own]
+            row = (bucket, _squeezed(b"".join(own)), _blob(np.array([len(t) for t in own]), "<u4"), _blob(np.array([len(i) for i in ids]), "<u4"), _blob(np.array([i for some in ids for i in some], dtype=np.int64), "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if k else pa.int64()) for k, v in enumerate(row)], names=[x.split()[0] for x in PARCELS.split(", ")])
 
 
 CLASSES = "bucket long, class long, first long, text binary, ids binary"
 
 
 def _bucket_classes(group: pa.Table) -> pa.Table:
-    found: dict[bytes, list[bytes]] = {}
-    for text, ids in zip(group.column("text").to_pylist(), group.column("ids").to_pylist(), strict=True):
-        found.setdefault(text, []).append(ids)
+    found: dict[bytes, list[np.ndarray]] = {}
+    for row in group.to_pylist():
+        counts = np.frombuffer(row["counts"], dtype="<u4")
+        ids = np.split(np.frombuffer(row["ids"], dtype="<i8"), np.cumsum(counts)[:-1])
+        for text, some in zip(_pieces(row["texts"], np.frombuffer(row["sizes"], dtype="<u4")), ids, strict=True):
+            found.setdefault(text, []).append(some)
     bucket = group.column("bucket")[0].as_py()
     texts = sorted(found)
-    ids = [np.sort(np.frombuffer(b"".join(found[t]), dtype="<i8")) for t in texts]
+    ids = [np.sort(np.concatenate(found[t])) for t in texts]
     return pa.table([pa.array([bucket] * len(texts), pa.int64()), pa.array([(bucket << 32) + i for i in range(len(texts))], pa.int64()), pa.array([int(i[0]) for i in ids], pa.int64()), pa.array(texts, pa.binary()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["bucket", "class", "first", "text", "ids"])
 
 
-# 2. Hashes that stand in two classes at least.
+# 2. Hashes that stand in two classes at least. A hash travels as 40 bits: the part that it goes to holds few enough of them
+# that two rarely agree, and if they do, a strip too many is sent, no more. Classes travel as their numbers in the bucket.
+
+SHORT = np.uint64((1 << 40) - 1)
+
+
+def _short(value: np.ndarray, parts: int) -> np.ndarray:
+    """40 bits of the hash that do not follow from the part."""
+    return (value // np.uint64(parts)) & SHORT
+
+
+def _blob40(value: np.ndarray) -> bytes:
+    return np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _joined40(column: pa.ChunkedArray) -> np.ndarray:
+    five = _joined(column, "u1").reshape(-1, 5)
+    wide = np.zeros((len(five), 8), dtype=np.uint8)
+    wide[:, :5] = five
+    return wide.view("<u8").reshape(-1)
+
+
+def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, class) of all rows (bucket, hashes, numbers)."""
+    numbers = _joined(group.column("numbers"), "<u4").astype(np.int64)
+    each = [len(x) // 4 for x in group.column("numbers").to_pylist()]
+    return _joined40(group.column("hashes")), numbers + (np.repeat(group.column("bucket").to_numpy(), each) << 32)
+
+
+HASHES = "part long, bucket long, hashes binary, numbers binary"
+
+
+def _rows_of(part: np.ndarray, bucket: np.ndarray, value: np.ndarray, numbers: np.ndarray, names: list[str]) -> pa.Table:
+    rows = []
+    for p, i in _split_by(part):
+        for b, j in _split_by(bucket[i]):
+            rows.append((p, b, _blob40(value[i][j]), _blob(numbers[i][j], "<u4")))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def _class_hashes(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in HASHES.split(", ")]
     for batch in batches:
         classes = batch.column(0).to_numpy()
+        found = []
         for at, texts in _some(batch.column(1).to_pylist()):
             of, _, _, value = strips(texts, width)
-            rows = [(p, _blob(value[i], "<u8"), _blob(classes[at + of[i]], "<i8")) for p, i in _split_by((value % np.uint64(parts)).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "hashes", "classes"])
+            found.append((classes[at + of], value))
+        if found:
+            cls, value = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield from _rows_of((value % np.uint64(parts)).astype(np.int64), cls >> 32, _short(value, parts), cls & 0xFFFFFFFF, names).to_batches()
 
 
 def _shared_hashes(group: pa.Table) -> pa.Table:
-    value, classes = _joined(group.column("hashes"), "<u8"), _joined(group.column("classes"), "<i8")
+    value, classes = _pairs(group)
     order = np.argsort(value, kind="stable")
     value, classes = value[order], classes[order]
     first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
     several = np.minimum.reduceat(classes, first) != np.maximum.reduceat(classes, first)
     keep = np.repeat(several, np.diff(np.r_[first, len(value)]))
     value, classes = value[keep], classes[keep]
-    rows = [(b, _blob(value[i], "<u8"), _blob(classes[i], "<i8")) for b, i in _split_by(classes >> 32)]
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "hashes", "classes"])
+    part = np.full(len(value), group.column("part")[0].as_py())
+    return _rows_of(part, classes >> 32, value, classes & 0xFFFFFFFF, ["part", "bucket", "hashes", "numbers"])
+
+
+# 3. The strips under these hashes, sent to the hashes' shards: each different string of a bucket once, with its places.
 
+STRIPS = ("shard", "bucket", "bytes", "sizes", "strings", "numbers", "starts", "known", "firsts")
 
-# 3. The strips under these hashes, sent to the hashes' shards.
 
-STRIPS = ("shard", "bytes", "sizes", "classes", "starts", "firsts")
+def _keys(part: np.ndarray, short: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """One number for part, hash and class of a bucket. Two that agree by chance send a strip too many, no more."""
+    x = short * np.uint64(0x9E3779B97F4A7C15) ^ part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
 def _shared_strips(own: pa.Table, shared: pa.Table, width: int, shards: int) -> pa.Table:
     out: list[list] = [[] for _ in STRIPS]
     if own.num_rows and shared.num_rows:
-        classes, firsts, texts = own.column("class").to_numpy(), own.column("first").to_numpy(), own.column("text").to_pylist()
-        # Class numbers are small within a bucket: with them in the low bits, pairs of class and hash are one number.
-        mix = lambda v, c: v * np.uint64(0x9E3779B97F4A7C15) ^ (c & 0xFFFFFFFF).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        wanted = np.unique(mix(_joined(shared.column("hashes"), "<u8"), _joined(shared.column("classes"), "<i8")))
+        bucket = own.column("bucket")[0].as_py()
+        numbers, firsts, texts = own.column("class").to_numpy() & 0xFFFFFFFF, own.column("first").to_numpy(), own.column("text").to_pylist()
+        value, classes = _pairs(shared)
+        each = [len(x) // 4 for x in shared.column("numbers").to_pylist()]
+        wanted = np.unique(_keys(np.repeat(shared.column("part").to_numpy(), each), value, classes & 0xFFFFFFFF))
+        seen: list[dict[bytes, int]] = [{} for _ in range(shards)]
+        places: list[list[tuple]] = [[] for _ in range(shards)]
         for at, some in _some(texts):
             of, first, n, value = strips(some, width)
-            pair = mix(value, classes[at + of])
-            place = np.minimum(np.searchsorted(wanted, pair), len(wanted) - 1)
-            hit = np.flatnonzero(wanted[place] == pair)
-            of, first, n, value = of[hit], first[hit], n[hit], value[hit]
-            for shard, i in _split_by((value % np.uint64(shards)).astype(np.int64)):
-                sizes = n[i] + width - 1
-                data = b"".join([some[t][a : a + z] for t, a, z in zip(of[i].tolist(), first[i].tolist(), sizes.tolist(), strict=True)])
-                for column, v in zip(out, (shard, data, _blob(sizes, "<i4"), _blob(classes[at + of[i]], "<i8"), _blob(first[i], "<i8"), _blob(firsts[at + of[i]], "<i8")), strict=True):
+            shard = (value % np.uint64(shards)).astype(np.int64)
+            key = _keys(shard, _short(value, shards), numbers[at + of])
+            place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+            hit = np.flatnonzero(wanted[place] == key)
+            of, first, sizes, shard = of[hit], first[hit], n[hit] + width - 1, shard[hit]
+            for q, i in _split_by(shard):
+                known = seen[q]
+                strings = [known.setdefault(some[t][a : a + z], len(known)) for t, a, z in zip(of[i].tolist(), first[i].tolist(), sizes[i].tolist(), strict=True)]
+                places[q].append((np.array(strings, dtype="<u4"), (at + of[i]).astype("<u4"), first[i].astype("<u4")))
+        for q in range(shards):
+            if seen[q]:
+                strings, rows, starts = (np.concatenate(x) for x in zip(*places[q], strict=True))
+                present, which = np.unique(rows, return_inverse=True)
+                sizes = np.fromiter(map(len, seen[q]), dtype="<u4", count=len(seen[q]))
+                for column, v in zip(out, (q, bucket, _squeezed(b"".join(seen[q])), sizes.tobytes(), strings.tobytes(), _blob(which, "<u4"), starts.tobytes(), _blob(numbers[present], "<u4"), _blob(firsts[present], "<i8")), strict=True):
                     column.append(v)
-    return pa.table([pa.array(v, pa.binary() if k else pa.int64()) for k, v in enumerate(out)], names=list(STRIPS))
+    return pa.table([pa.array(v, pa.int64() if k < 2 else pa.binary()) for k, v in enumerate(out)], names=list(STRIPS))
 
 
 # 4. A suffix array of each shard's different strips; windows that share `width` bytes with an earlier document's.
@@ -186,29 +269,34 @@ def repeated_windows(strings: list[bytes], firsts: np.ndarray, width: int) -> tu
 
 
 def _removed(group: pa.Table, width: int) -> pa.Table:
-    sizes, classes, starts, firsts = (_joined(group.column(c), d) for c, d in (("sizes", "<i4"), ("classes", "<i8"), ("starts", "<i8"), ("firsts", "<i8")))
-    data = b"".join(group.column("bytes").to_pylist())
-    ends = np.cumsum(sizes, dtype=np.int64)
     seen: dict[bytes, int] = {}
-    of = np.fromiter((seen.setdefault(data[e - z : e], len(seen)) for e, z in zip(ends.tolist(), sizes.tolist(), strict=True)), dtype=np.int64, count=len(sizes))
+    strings, classes, starts, firsts = [], [], [], []
+    for row in group.to_pylist():
+        numbers = [seen.setdefault(x, len(seen)) for x in _pieces(row["bytes"], np.frombuffer(row["sizes"], dtype="<u4"))]
+        which = np.frombuffer(row["numbers"], dtype="<u4")
+        strings.append(np.array(numbers)[np.frombuffer(row["strings"], dtype="<u4")])
+        classes.append(np.frombuffer(row["known"], dtype="<u4").astype(np.int64)[which] + (row["bucket"] << 32))
+        firsts.append(np.frombuffer(row["firsts"], dtype="<i8")[which])
+        starts.append(np.frombuffer(row["starts"], dtype="<u4").astype(np.int64))
+    of, classes, starts, firsts = (np.concatenate(x) for x in (strings, classes, starts, firsts))
     earliest = np.full(len(seen), NO_ID, dtype=np.int64)
     np.minimum.at(earliest, of, firsts)
     least, windows = repeated_windows(list(seen), earliest, width)
     base = np.cumsum(windows) - windows
     out = []
     for at in range(0, len(of), 1 << 17):  # occurrences
-        o = of[at : at + (1 << 17)]
+        o, own = of[at : at + (1 << 17)], firsts[at : at + (1 << 17)]
         occurrence = np.repeat(np.arange(len(o)), windows[o])
         inside = np.arange(len(occurrence)) - np.repeat(np.cumsum(windows[o]) - windows[o], windows[o])
-        hit = least[base[o][occurrence] + inside] < firsts[at : at + (1 << 17)][occurrence]
+        hit = least[base[o][occurrence] + inside] < own[occurrence]
         edge = np.r_[True, occurrence[1:] != occurrence[:-1]]
         begin = np.flatnonzero(hit & (edge | ~np.r_[False, hit[:-1]]))
         end = np.flatnonzero(hit & (np.r_[edge[1:], True] | ~np.r_[hit[1:], False]))
         who = at + occurrence[begin]
-        out.append((classes[who], starts[who] + inside[begin], starts[who] + inside[end] + width))
-    cls, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
-    rows = [(b, _blob(cls[i], "<i8"), _blob(low[i], "<i8"), _blob(high[i], "<i8")) for b, i in _split_by(cls >> 32)]
-    return pa.table([pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(4)], names=["bucket", "classes", "lows", "highs"])
+        out.append((classes[who], starts[who] + inside[begin], inside[end] - inside[begin] + width))
+    cls, low, size = (np.concatenate(x) for x in zip(*out, strict=True))
+    rows = [(b, _blob(cls[i] & 0xFFFFFFFF, "<u4"), _blob(low[i], "<u4"), _blob(size[i], "<u4")) for b, i in _split_by(cls >> 32)]
+    return pa.table([pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(4)], names=["bucket", "numbers", "lows", "sizes"])
 
 
 # 5. What is left of each document.
@@ -225,12 +313,13 @@ def _merged(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _kept(own: pa.Table, removed: pa.Table, width: int, texts_too: bool) -> pa.Table:
-    cls, low, high = (_joined(removed.column(c), "<i8") for c in ("classes", "lows", "highs")) if removed.num_rows else (np.zeros(0, dtype=np.int64),) * 3
+    cls, low, high = (_joined(removed.column(c), "<u4").astype(np.int64) for c in ("numbers", "lows", "sizes")) if removed.num_rows else (np.zeros(0, dtype=np.int64),) * 3
+    high = low + high
     order = np.argsort(cls, kind="stable")
     cls, low, high = cls[order], low[order], high[order]
     out = []
     for c, first, text, ids in zip(*(own.column(x).to_pylist() for x in ("class", "first", "text", "ids")), strict=True) if own.num_rows else ():
-        a, b = np.searchsorted(cls, [c, c + 1])
+        a, b = np.searchsorted(cls, [c & 0xFFFFFFFF, (c & 0xFFFFFFFF) + 1])
         spans = _merged(low[a:b], high[a:b]) if b > a else []
         kept = b"".join(text[x:y] for x, y in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)], strict=True))
         for doc_id in np.frombuffer(ids, dtype="<i8").tolist():
@@ -250,8 +339,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
     Strings are judged on the input, as UTF-8 bytes; they never cross rows. A null text is empty. A null id counts as larger than
     all others; rows of equal ids take nothing from each other. An empty table gives no rows. Other columns are not carried.
 
-    The classes of equal texts are written to the shared checkpoint folder once; no task holds more than a bucket's
-    texts or a shard's different strips. A gram in very many texts costs its shard some 30 bytes for each.
+    The classes of equal texts are written to the shared checkpoint folder once, as a bucketed table; no task holds more than a bucket's
+    texts or a shard's different strips. A gram in very many texts costs its shard some 12 bytes for each.
     """
     if width < GRAM:
         raise ValueError(f"width must be {GRAM} at least")
@@ -260,13 +349,17 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-total // bytes_per_task))
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/classes-{uuid.uuid4().hex}"
-    batched = slim.mapInArrow(lambda b: _batch_classes(b, parts), "bucket long, text binary, ids binary")
-    batched.groupBy("bucket").applyInArrow(_bucket_classes, CLASSES).write.option("compression", "zstd").parquet(path)
-    classes = spark.read.schema(CLASSES).parquet(path)
-
-    hashed = classes.select("class", "text").mapInArrow(lambda b: _class_hashes(b, width, parts), "part long, hashes binary, classes binary")
-    shared = hashed.groupBy("part").applyInArrow(_shared_hashes, "bucket long, hashes binary, classes binary")
-    sent = classes.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(lambda a, b: _shared_strips(a, b, width, parts), ", ".join(f"{c} {'binary' if k else 'long'}" for k, c in enumerate(STRIPS)))
-    removed = sent.groupBy("shard").applyInArrow(lambda t: _removed(t, width), "bucket long, classes binary, lows binary, highs binary")
+    name = f"cellwise_classes_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+    batched = slim.mapInArrow(lambda b: _batch_classes(b, parts), PARCELS)
+    # A table bucketed as the later steps need it: its texts are shuffled once, here.
+    batched.groupBy("bucket").applyInArrow(_bucket_classes, CLASSES).write.bucketBy(parts, "bucket").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    del batched
+    release(spark)
+    classes = spark.table(name)
+
+    hashed = classes.select("class", "text").mapInArrow(lambda b: _class_hashes(b, width, parts), HASHES)
+    shared = hashed.groupBy("part").applyInArrow(_shared_hashes, HASHES)
+    sent = classes.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(lambda a, b: _shared_strips(a, b, width, parts), ", ".join(f"{c} {'long' if k < 2 else 'binary'}" for k, c in enumerate(STRIPS)))
+    removed = sent.groupBy("shard").applyInArrow(lambda t: _removed(t, width), "bucket long, numbers binary, lows binary, sizes binary")
     return classes.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(lambda a, b: _kept(a, b, width, texts), REPORT + (", text string" if texts else ""))
