@@ -245,29 +245,116 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: For similarity: four fingerprints of 64 bits, of which two are indexed under every two of eight blocks of bits.
-SIMILAR_WORDS, SIMILAR_MASKS = 4, [*block_masks(8, 2, 0), *block_masks(8, 2, 1)]
+#: For similarity: texts meet under the least of ROWS hashes, BANDS times. A pair of similarity 0.8 meets in none of them once in 7 million.
+BANDS, ROWS = 40, 5
+#: Shingles of one of the two blocks of texts that a task compares.
+BLOCK = 500_000
 
 
-def bits_for(similarity: float, words: int = SIMILAR_WORDS) -> int:
-    """How many bits sets of shingles of a Jaccard similarity may differ in: the expectation and one standard deviation."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(64 * words * share + (64 * words * share * (1 - share)) ** 0.5)
+def _odd(n: int) -> np.ndarray:
+    """n fixed odd factors."""
+    return _mixed(np.arange(n, dtype=np.uint64), 1) | np.uint64(1)
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near copies, with all columns: of each component of links, the row with the smallest id stays.
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: of the least values of the hashes under its ROWS orders, and of its number."""
+    turns, least = _odd(2 * BANDS * ROWS), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[None, at : at + 4096]
+        least = np.minimum(least, ((part ^ turns[1::2, None]) * turns[::2, None]).min(axis=1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = _mixed(keys ^ row, 1)
+    return keys
 
-    Similarity of word shingles is estimated by 256 bits. Two texts of similarity 0.9 share a node of the index in over
-    99 of 100 cases, at 0.8 in about 95; links at the limit's edge are as uncertain as SimHash is. Rows with a null id stay. Of rows
-    that share the id that stays, one does, with the smallest text.
+
+def _print_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, bands = [], []
+        for text in batch.column(2):
+            hashes = np.unique(np.array(shingle_hashes(text.as_py(), shingle), dtype=np.uint64))
+            words.append(xxhash.xxh3_128_digest(b" ".join((text.as_py() or "").encode().lower().split())))
+            bands.append(band_keys(hashes).view(np.int64) if len(hashes) else [])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "k", "words", "bands"])
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), dtype=np.uint64)).view(np.int64) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "component", "shingles"])
+
+
+def _similar(table: pa.Table, similarity: float) -> pa.Table:
+    """A spanning forest of the pairs of a group whose Jaccard similarity, counted from the sets, is at least `similarity`."""
+    table = table.combine_chunks()
+    _, first = np.unique(table.column("node").to_numpy(), return_index=True)
+    table = table.take(pa.array(first)).combine_chunks()  # rows that are equal in all are one
+    nodes, sets = table.column("node").to_numpy(), table.column("shingles").combine_chunks()
+    sizes = np.diff(sets.offsets.to_numpy())
+    _, value = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    of = np.repeat(np.arange(len(nodes)), sizes)
+    order = np.argsort(value, kind="stable")  # texts stand in order under each shingle
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    under, starts = of[order], np.searchsorted(value[order], np.arange(value.max() + 1 if len(value) else 0))
+    ends = np.cumsum(sizes)
+    parent = np.arange(len(nodes))
+    for x in range(1, len(nodes)):
+        mine = slice(ends[x] - sizes[x], ends[x])
+        begin = starts[value[mine]]
+        n = place[mine] - begin  # texts before x that hold the shingle
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(under[at], minlength=x)
+        near = np.flatnonzero(shared >= similarity * (sizes[x] + sizes[:x] - shared) - 1e-9)
+        if len(near):
+            unite(parent, np.full(len(near), x), near)
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    child = np.flatnonzero(parent != np.arange(len(nodes)))
+    return pa.table({"a": nodes[child], "b": nodes[parent[child]]})
+
+
+def similar_classes(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the nodes that have another of at least `similarity`: the smallest node reached over such links.
+
+    classes: node, k, bands. texts: k, text. Texts that meet under a key are candidates; every two texts of a component
+    of candidates are then compared by their whole sets. A component of over `block` shingles is cut into blocks, and a
+    task compares two of them.
+    """
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "b")
+    candidates = smallest_reachable(keyed.join(least, F.col("key") == F.col("_key")).where("node <> b").select(F.col("node").alias("a"), "b"))
+    wanted = classes.select(F.col("node").alias("_node"), F.col("k").alias("_k")).join(candidates, F.col("node") == F.col("_node")).select("_k", "node", "component")
+    read = texts.join(wanted, F.col("k") == F.col("_k")).select("node", "component", "text")
+    sets = durable(read.mapInArrow(lambda b: _set_batches(b, shingle), "node long, component long, shingles array<long>"))
+    blocks = sets.groupBy(F.col("component").alias("_component")).agg(F.ceil(F.sum(F.size("shingles")) / F.lit(block)).cast("int").alias("n"))
+    mine, other = F.pmod(F.xxhash64("node"), F.col("n")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    dealt = sets.join(blocks, F.col("component") == F.col("_component")).select("node", "component", "shingles", mine.alias("mine"), other.alias("other"))
+    pairs = dealt.groupBy("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return smallest_reachable(pairs.applyInArrow(lambda t: _similar(t, similarity), "a long, b long"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs without near copies, with all columns: of each component of links, one row stays.
+
+    Two texts are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`; the sets
+    themselves are compared, keys only choose which. Rows are told apart by id and text, so texts under one id are
+    compared like any others, and rows with a null id too. The smallest id stays, a null id last; of different texts
+    under it the one with the smallest digest, of rows that agree in both the smallest row. All texts without words
+    (null, empty, white space) are copies of each other.
     """
-    found = near_duplicate_components(docs.where(F.col(doc_id).isNotNull()), shingle, bits_for(similarity), SIMILAR_WORDS, SIMILAR_MASKS, doc_id, text)
-    gone = found.where("component <> id").select(F.col("id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    # Only rows of an id that stands twice are compared.
-    twice = docs.groupBy(doc_id).agg(F.count("*").alias("n")).where(f"n > 1 AND {doc_id} IS NOT NULL").select(F.col(doc_id).alias("_twice"))
-    single = kept.join(twice, F.col(doc_id) == F.col("_twice"), "left_anti")
-    several = kept.join(twice, F.col(doc_id) == F.col("_twice"), "left_semi")
-    one = several.groupBy(F.col(doc_id).alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias("_row"))
-    return single.unionByName(one.select("_row.*"))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+    slim = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("k"), F.col(text).alias("text"))
+    prints = durable(slim.mapInArrow(lambda b: _print_batches(b, shingle), "id long, k binary, words binary, bands array<long>"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k")
+    grouped = prints.groupBy("words").agg(F.min(order).alias("best"), F.first("bands").alias("bands"))
+    classes = durable(grouped.withColumn("node", F.monotonically_increasing_id()))
+    component = similar_classes(classes.select("node", F.col("best.k").alias("k"), "bands"), slim.select("k", "text"), shingle, similarity, block)
+    labelled = classes.select(F.col("node").alias("_node"), "words", "best").join(component, F.col("node") == F.col("_node"), "left").select(F.col("words").alias("_words"), "best", F.coalesce("component", "_node").alias("component"))
+    winners = labelled.groupBy(F.col("component").alias("_component")).agg(F.min("best").alias("stays"))
+    stays = labelled.join(winners, F.col("component") == F.col("_component")).select("_words", F.col("stays.k").alias("stays"))
+    rows = prints.groupBy("k", "words").agg(F.count("*").alias("n")).join(stays, F.col("words") == F.col("_words"))
+    flags = rows.select(F.col("k").alias("_k"), (F.col("k") != F.col("stays")).alias("_gone"), "n").where("_gone OR n > 1").select("_k", "_gone")
+    marked = docs.withColumn("_key", key).join(durable(flags), F.col("_key") == F.col("_k"), "left")
+    several = marked.where("NOT _gone").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return marked.where("_k IS NULL").select(docs.columns).unionByName(several.select("_row.*"))

@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of about 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
     return one_of_each(docs)
 
 

@@ -208,6 +208,42 @@ def test_one_of_each(spark, edges):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([0, 1, 5, 6, 7, 8, None], key=repr)
 
 
+def brute_one_of_each(texts, similarity=0.8):
+    """The (id, text) that stay: components over exact Jaccard similarities of five-word shingles."""
+    rows = sorted(set(texts), key=lambda r: (r[0] is None, r[0] or 0))
+    split = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()} for w in split]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return sorted({label[i]: r for i, r in reversed(list(enumerate(rows)))}.values(), key=repr)
+
+
+def near_texts():
+    """Texts around the limit of similarity, in both directions, and a group that holds together by links."""
+    r = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{x}" for x in r.integers(0, 10**6, r.integers(20, 200))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words = list(words)
+            for at in r.integers(0, len(words), max(1, round(len(words) * r.choice([0.01, 0.02, 0.025, 0.04])))):
+                words[at] = f"x{r.integers(0, 10**6)}"
+            texts.append(" ".join(words))
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("block", [500_000, 300])
+def test_one_of_each_is_exact(spark, block):
+    texts = near_texts()
+    got = one_of_each(spark.createDataFrame(texts, "doc_id long, text string"), block=block)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_one_of_each(texts)
+
+
 # Suffix arrays.
 
 
