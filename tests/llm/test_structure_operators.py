@@ -244,6 +244,14 @@ def test_one_of_each_is_exact(spark, block):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_one_of_each(texts)
 
 
+def test_one_of_each_keeps_rows_of_one_id(spark):
+    """Texts under one id are no copies for that, their id's copies take no others along, and null ids are compared."""
+    texts = [t for _, t in near_texts()[::4]]
+    rows = [*((7, t) for t in texts[:10]), (7, texts[0]), (3, texts[1]), (None, texts[2]), (None, texts[20]), (None, texts[20]), (None, texts[21]), (9, texts[21])]
+    got = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([*((7, t) for t in texts[:10] if t != texts[1]), (3, texts[1]), (None, texts[20]), (9, texts[21])], key=repr)
+
+
 # Suffix arrays.
 
 
