@@ -75,15 +75,37 @@ def hints() -> list[str]:
     return sorted({max(s.split(), key=lambda w: (len(w), w)) for known in SENTENCES.values() for s in known})
 
 
+#: In marked texts: what ends a sentence for certain; and line ends, ; and :, which may stand within one.
+HARD, SOFT = "\x01", "\x02"
+
+
+def marked_words(body: Column) -> Column:
+    """The words of a lower-cased text, one space between them, with HARD and SOFT in place of ends.
+
+    A line without words, such as a comment's empty line, ends a sentence; a comment's signs at a line's start are no words.
+    """
+    marked = F.regexp_replace(F.translate(body, HARD + SOFT, "  "), r"(^|\n)[ \t]*(?:dnl|rem)(?=[ \t\r\n]|$)", "$1")
+    for pattern, put in (
+        (r"\n(?:[^a-z0-9\n]*\n)+", HARD),
+        (r"[.!?]" + WHITE, HARD),
+        (r"[;:]" + WHITE + r"|\n", SOFT),
+        (r"[^a-z0-9\x01\x02]+", " "),
+        (r"[ \x02]*\x01[ \x01\x02]*", HARD),
+        (r" *\x02[ \x02]*", SOFT),
+    ):
+        marked = F.regexp_replace(marked, pattern, put)
+    return F.trim(marked)
+
+
 def known_sentences(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
+    """The identifiers of the known sentences of a text, in order: from an end to an end, over line ends if need be."""
     any_hint = "|".join(hints())
     body = ascii_lower(text)
-    sentences = F.split(F.regexp_replace(body, SENTENCE_END + WHITE, "$1\n"), "\n")
     ids = F.create_map(*(F.lit(x) for name, known in SENTENCES.items() for s in known for x in (s, name)))
-    likely = F.filter(sentences, lambda s: s.rlike(any_hint))
-    found = F.array_compact(F.transform(likely, lambda s: F.try_element_at(ids, F.trim(F.regexp_replace(s, NOT_WORD, " ")))))
-    return F.when(body.rlike(any_hint), found).otherwise(F.array().cast("array<string>"))
+    longest_first = sorted((s for known in SENTENCES.values() for s in known), key=lambda s: (-len(s), s))
+    pattern = r"(?<![^\x01\x02])(?:" + "|".join(s.replace(" ", r"[ \x02]") for s in longest_first) + r")(?![^\x01\x02])"
+    found = F.regexp_extract_all(marked_words(body), F.lit(pattern), F.lit(0))
+    return F.when(body.rlike(any_hint), F.transform(found, lambda s: ids[F.translate(s, SOFT, " ")])).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(sequence: Column, rules: tuple = RULES) -> list[tuple[str, str, Column]]:
@@ -100,7 +122,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     """doc_id, n_known, sentences, rules and licenses of each row; the lists are comma-joined.
 
     sentences: identifiers of the known sentences in the text's order. A sentence is compared whole, by its words, so one
-    that only contains a known one does not count. rules: those that match, in their order; a rule matches a run of its
+    that only contains a known one does not count; it may be wrapped over lines, behind comment signs, and begin or end
+    at any line end; ; and : may stand within it too, as in the GPL's headers. rules: those that match, in their order; a rule matches a run of its
     identifiers, unknown sentences between them aside, that no earlier rule has taken. licenses: theirs, sorted, each
     once. Null and empty texts have none: empty strings. Repeated rows stay, null ids too; an empty table gives no rows;
     other columns are not carried. Each row is read by itself, so nothing is shuffled.
@@ -119,7 +142,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
 
 def scan_sql(rules: tuple = RULES) -> str:
-    """The same rows in DuckDB's SQL."""
+    """The same rows in DuckDB's SQL, but for sentences wrapped over lines or with ; or : within, which it does not join."""
     ids = "MAP {" + ", ".join(f"'{s}': '{name}'" for name, known in SENTENCES.items() for s in known) + "}"
     hint = "|".join(hints())
     state, hits, licences = "sequence", [], []

@@ -175,6 +175,41 @@ def test_licences(spark, edges, none):
     assert scan_licenses(edges).count() == len(EDGES) and scan_licenses(none).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD = """Copyright (c) 2024, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GPL = "This program is free software%s you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version %d of the License, or (at your option) any later version."
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", "dnl "])
+@pytest.mark.parametrize("width", [72, 40])
+def test_wrapped_licences(spark, prefix, width):
+    import textwrap
+
+    cases = [(MIT, "mit-full,mit-title"), (BSD, "bsd-2,all-rights"), (BSD + ENDORSE, "bsd-3,all-rights"), (GPL.replace("Foundation;", "Foundation,") % (":", 3), "gpl-3-header"), (GPL % (";", 2), "gpl-2-header"), (APACHE, "apache-2-header"), (MIT.replace("\n\n", "\n"), "mit-full,mit-title")]
+    wrapped = ["\n".join(prefix + x for line in text.split("\n") for x in (textwrap.wrap(line, width) or [""])) for text, _ in cases]
+    got = scan_licenses(spark.createDataFrame(list(enumerate(wrapped)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["rules"] for r in got} == dict(enumerate(rules for _, rules in cases))
+
+
 # Quality.
 
 
