@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cellwise.llm.common import durable
 
 # Shapes of personal data, and names for surrogates by gender and script.
+TITLE = r"(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Se\x{F1}or|Se\x{F1}ora|Sr|Sra|Dr|Prof|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{434}\x{438}\x{43D}|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{436}\x{430})"
+ADDRESS = r"(?:" + TITLE + r"\.? )++"
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
@@ -16,15 +18,18 @@ PATTERNS: dict[str, str] = {
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "card": r"(?<![0-9\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
-    "person": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Se\x{F1}or|Se\x{F1}ora|Sr|Sra|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{434}\x{438}\x{43D}|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{436}\x{430})\.? \p{Lu}[\p{L}'\-]++(?: \p{Lu}[\p{L}'\-]++)?+",
+    "person": r"(?<![\p{L}\p{N}])" + ADDRESS + r"\p{Lu}[\p{L}'\-]++(?: \p{Lu}[\p{L}'\-]++)?+",
 }
-FEMALE = r"^(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Se\x{F1}ora|Sra|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{436}\x{430})(?:[. ])"
+FEMALE = r"^(?:" + TITLE + r"\.? )*(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Se\x{F1}ora|Sra|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{436}\x{430})(?:[. ])"
+#: Forms of address that fit every gender; alone they leave it open.
+NEUTRAL = r"^(?:(?:Dr|Prof)\.? )+(?!(?:" + TITLE + r")[. ])"
 GIVEN = {
     ("latin", "f"): "Alma Beate Clara Doris Elena Frida Greta Helga Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sofia Tilda Vera".split(),
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Kurt Louis Martin Nils Oscar Paul Roman Simon Tomas Victor".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Лидия Мария Нина Ольга Полина Раиса Софья Тамара".split(),
     ("cyrillic", "m"): "Антон Борис Вадим Глеб Денис Егор Захар Иван Кирилл Лев Марк Олег Павел Роман Степан Тимур".split(),
 }
+GIVEN |= {(script, "n"): GIVEN[script, "f"] + GIVEN[script, "m"] for script in ("latin", "cyrillic")}
 FAMILY = {
     "latin": "Abel Berg Castell Dorn Engel Falk Grant Holm Ibsen Jansen Keller Lang Moreau Norden Olsen Prado Quint Reyes Stone Torres Ulrich Vidal Weber Young".split(),
     "cyrillic": "Белый Волк Гром Дуб Ежов Жук Зима Клён Лис Мороз Орёл Пирог Рогоз Снег Туча Ясень".split(),
@@ -32,7 +37,7 @@ FAMILY = {
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds: texts without it are not searched further.
-HINT = r"[0-9@]|Mr|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Mme|Se\x{F1}or|Sr|\x{413}\x{43E}\x{441}\x{43F}\x{43E}"
+HINT = r"[0-9@]|Mr|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Mme|Se\x{F1}or|Sr|Dr|Prof|\x{413}\x{43E}\x{441}\x{43F}\x{43E}"
 #: Digits of the keyed stream for one character, and how many characters it serves before it repeats.
 DIGITS, SERVES = 3, 85
 
@@ -47,10 +52,38 @@ def kind_of(surface: Column) -> Column:
     return case
 
 
+def names_of(surface: Column) -> Column:
+    """A person's names without the form of address and the genitive."""
+    return F.regexp_replace(F.regexp_replace(surface, "^" + ADDRESS, ""), "'s$", "")
+
+
+def repeats(titled: Column) -> Column:
+    """A pattern for the names of a text's titled mentions, as they stand there without a title: in full, and the family name."""
+    names = F.transform(titled, names_of)
+    every = F.array_distinct(F.concat(names, F.transform(names, lambda n: F.substring_index(n, " ", -1))))
+    longest = F.array_sort(every, lambda a, b: F.length(b) - F.length(a))
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
+def same_person(mention: Column, titled: Column) -> Column:
+    """The entity of a mention within its text, whose titled mentions' entities are `titled`.
+
+    A family name alone is the first person of that family name who is named in full, one without a gender the first of
+    that name who has one; genders that differ are different persons.
+    """
+    gender, names = F.substring(mention, 1, 1), F.substring(mention, 3, 1 << 20)
+    fits = F.filter(titled, lambda e: (F.substring(e, 1, 1) == gender) | (gender == "n") | e.startswith("n:"))
+    full = F.filter(fits, lambda e: F.contains(e, F.lit(" ")) & ((F.substring(e, 3, 1 << 20) == names) | F.endswith(e, F.concat(F.lit(" "), names))))
+    alone = F.filter(fits, lambda e: F.substring(e, 3, 1 << 20) == names)
+    gendered = lambda es: F.filter(es, lambda e: ~e.startswith("n:"))
+    return F.coalesce(*(F.try_element_at(es, F.lit(1)) for es in (gendered(full), full, gendered(alone), alone)), mention)
+
+
 def canonical(kind: Column, surface: Column) -> Column:
     """What mentions of one entity share: letters in lower case and digits only; of a person, gender and names."""
-    names = F.lower(F.regexp_replace(surface, r"^\S+ ", ""))
-    person = F.concat(F.when(surface.rlike(FEMALE), F.lit("f:")).otherwise(F.lit("m:")), names)
+    untitled = ~surface.rlike("^" + ADDRESS)
+    gender = F.when(surface.rlike(FEMALE), F.lit("f:")).when(untitled | surface.rlike(NEUTRAL), F.lit("n:")).otherwise(F.lit("m:"))
+    person = F.concat(gender, F.lower(names_of(surface)))
     return F.when(kind == "person", person).when(kind.isin("email", "ip"), F.lower(surface)).when(kind == "key", surface).otherwise(F.lower(F.regexp_replace(surface, r"[^\p{L}\p{N}]", "")))
 
 
@@ -90,7 +123,7 @@ def surrogate(df: DataFrame, key: str, attempt: int) -> DataFrame:
     octets = f"""array_join(transform(split(entity, '[.]'), (c, i) -> CAST(CASE length(c) WHEN 1 THEN 1 + {v} % 9 WHEN 2 THEN 10 + {v} % 90 ELSE 100 + {v} % 156 END AS STRING)), '.')"""
     persons = "CASE"
     for script, test in (("cyrillic", "RLIKE '\\\\p{IsCyrillic}'"), ("latin", "IS NOT NULL")):
-        for gender in "fm":
+        for gender in "fmn":
             family = _pick("stream", 10, FAMILY[script]) + (f" || '-' || {_pick('stream', 20, FAMILY[script])}" if attempt >= 2 else "") + (f" || '-' || {_pick('stream', 30, FAMILY[script])}" if attempt >= 5 else "")
             persons += f" WHEN entity {test} AND entity LIKE '{gender}:%' THEN CASE WHEN entity LIKE '% %' THEN {_pick('stream', 0, GIVEN[script, gender])} || ' ' ELSE '' END || {family}"
     persons += " END"
@@ -124,7 +157,8 @@ def distinct_surrogates(entities: DataFrame, key: str, tries: int = 12) -> DataF
 
 def rendered(kind: Column, surface: Column, replacement: Column) -> Column:
     """The surrogate in the surface's format: its separators, its upper case, its form of address."""
-    address = F.regexp_extract(surface, r"^(\S+ )", 1)
+    address = F.regexp_extract(surface, f"^({ADDRESS})", 1)
+    person = F.concat(address, F.when(F.contains(names_of(surface), F.lit(" ")), replacement).otherwise(F.substring_index(replacement, " ", -1)), F.regexp_extract(surface, "('s)$", 1))
     both = F.struct(F.split(surface, "").alias("chars"), replacement.alias("r"))
     filled = F.aggregate(
         both["chars"],
@@ -135,14 +169,15 @@ def rendered(kind: Column, surface: Column, replacement: Column) -> Column:
         ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["used"].alias("used"))),
         lambda s: F.concat(s["out"], F.substring(both["r"], s["used"] + 1, F.lit(64))),
     )
-    return F.when(kind == "person", F.concat(address, replacement)).when(kind.isin("ip", "key"), replacement).when(kind == "email", F.when(surface.rlike(r"\p{Lu}"), F.upper(replacement)).otherwise(replacement)).otherwise(filled)
+    return F.when(kind == "person", person).when(kind.isin("ip", "key"), replacement).when(kind == "email", F.when(surface.rlike(r"\p{Lu}"), F.upper(replacement)).otherwise(replacement)).otherwise(filled)
 
 
 def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", count: str | None = None, tries: int = 12) -> DataFrame:
     """docs with surrogates in place of the personal data in `text`; all other columns and texts stay as they are.
 
     An entity has one surrogate in all documents, by the key; different entities have different ones, none of which is
-    an entity of the corpus. count: a column to add with the number of mentions replaced. Null and empty texts have
+    an entity of the corpus. Of a person named with a form of address, the names without one are mentions too, in full or
+    the family name, and short mentions are the same entity as the full one in their text. count: a column to add with the number of mentions replaced. Null and empty texts have
     none; rows with null or repeated ids are rows like any other. Only texts with mentions are shuffled; an entity that a third of
     them name is one row of the table of entities, and its join splits.
     """
@@ -152,14 +187,21 @@ def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "
     columns = [*docs.columns, *added]
     untouched = docs.where(~has)
     untouched = untouched.withColumn(count, F.lit(0).cast("long")) if count else untouched
-    touched = docs.where(has).withColumn("_found", F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
-
-    mentions = touched.select("_key", F.explode(F.array_distinct("_found")).alias("surface")).distinct()
-    typed = durable(mentions.withColumn("kind", kind_of(F.col("surface"))).withColumn("entity", canonical(F.col("kind"), F.col("surface"))))
+    touched = docs.where(has).withColumn("_first", F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
+    touched = touched.withColumn("_titled", F.filter("_first", lambda s: s.rlike(f"^(?:{PATTERNS['person']})$")))
+    named = F.size("_titled") > 0
+    touched = touched.withColumn("_pattern", F.when(named, F.concat(F.lit(ANY + "|"), repeats(F.col("_titled")))).otherwise(F.lit(ANY)))
+    touched = touched.withColumn("_found", F.when(named, F.regexp_extract_all(text, F.concat(F.lit("("), "_pattern", F.lit(")")), F.lit(1))).otherwise(F.col("_first")))
+
+    mentions = touched.select("_key", "_titled", F.explode(F.array_distinct("_found")).alias("surface")).dropDuplicates(["_key", "surface"])
+    kinds = mentions.withColumn("kind", kind_of(F.col("surface"))).withColumn("own", canonical(F.col("kind"), F.col("surface")))
+    persons = F.transform("_titled", lambda s: canonical(F.lit("person"), s))
+    entity = F.when(F.col("kind") == "person", same_person(F.col("own"), persons)).otherwise(F.col("own"))
+    typed = durable(kinds.select("_key", "surface", "kind", entity.alias("entity")))
     entities = distinct_surrogates(typed.select("kind", "entity").distinct(), key, tries).withColumnsRenamed({"kind": "k", "entity": "e"})
     resolved = typed.join(entities, (F.col("kind") == F.col("k")) & (F.col("entity") == F.col("e"))).select("_key", "surface", rendered(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("put"))
     maps = resolved.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("surface", "put"))).alias("_map")).withColumnRenamed("_key", "_map_key")
-    joined = touched.join(maps, F.col("_key") == F.col("_map_key")).withColumn("_between", F.split(F.col(text), ANY, -1))
+    joined = touched.join(maps, F.col("_key") == F.col("_map_key")).withColumn("_between", F.split(F.col(text), F.col("_pattern"), -1))
     rebuilt = F.expr("array_join(transform(_between, (s, i) -> CASE WHEN i < size(_found) THEN concat(s, _map[_found[i]]) ELSE s END), '')")
     replaced = joined.withColumn(text, rebuilt)
     replaced = replaced.withColumn(count, F.size("_found").cast("long")) if count else replaced

@@ -283,6 +283,26 @@ def test_surrogates(spark, edges, none):
     assert replace_pii(none, "k").count() == 0
 
 
+def test_mentions_of_one_person(spark):
+    texts = [
+        (1, "Mr. John Smith came. Mr. Smith sat; John Smith ate, and Smith's dog too. Smithson and Blacksmith stayed. Mrs. Smith left."),
+        (2, "Dr. Ada Quill and Prof. Dr. Quill wrote to Ms Ada Quill."),
+        (3, "John Smith and Quill have no form of address here."),
+        (4, "Mr. Smith's house. Dr. Moss knows it, says Moss."),
+        (5, "Herr Dr. Hans Meier, Frau Meier"),
+    ]
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in replace_pii(spark.createDataFrame(texts, "doc_id long, text string"), "k", count="n").collect()}
+    name = r"[A-Z]\w+(?:-[A-Z]\w+)*"
+    one = re.fullmatch(rf"Mr\. ({name}) ({name}) came\. Mr\. ({name}) sat; ({name} {name}) ate, and ({name})'s dog too\. Smithson and Blacksmith stayed\. Mrs\. ({name}) left\.", got[1][0])
+    assert one and one[2] == one[3] == one[5] and one[4] == f"{one[1]} {one[2]}" and "Smith" not in got[1][0].replace("Smithson", "") and got[1][1] == 5
+    two = re.fullmatch(rf"Dr\. ({name} {name}) and Prof\. Dr\. ({name}) wrote to Ms ({name} {name})\.", got[2][0])
+    assert two and two[1] == two[3] and two[1].endswith(f" {two[2]}") and "Quill" not in got[2][0] and got[2][1] == 3
+    assert got[3] == (texts[2][1], 0)
+    four = re.fullmatch(rf"Mr\. ({name})'s house\. Dr\. ({name}) knows it, says ({name})\.", got[4][0])
+    assert four and four[2] == four[3] != "Moss"
+    assert re.fullmatch(rf"Herr Dr\. {name} {name}, Frau {name}", got[5][0]) and "Meier" not in got[5][0]
+
+
 def test_collisions_are_resolved(spark):
     entities = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)] + [("person", f"f:p{i} q") for i in range(700)], "kind string, entity string")
     got = distinct_surrogates(entities, "k").collect()
