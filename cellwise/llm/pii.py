@@ -37,7 +37,7 @@ FAMILY = {
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds: texts without it are not searched further.
-HINT = r"[0-9@]|Mr|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Mme|Se\x{F1}or|Sr|Dr|Prof|\x{413}\x{43E}\x{441}\x{43F}\x{43E}"
+HINT = r"[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}|Mr|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Mme|Se\x{F1}or|Sr|Dr|Prof|\x{413}\x{43E}\x{441}\x{43F}\x{43E}"
 #: Digits of the keyed stream for one character, and how many characters it serves before it repeats.
 DIGITS, SERVES = 3, 85
 

@@ -303,6 +303,12 @@ def test_mentions_of_one_person(spark):
     assert re.fullmatch(rf"Herr Dr\. {name} {name}, Frau {name}", got[5][0]) and "Meier" not in got[5][0]
 
 
+def test_keys_without_digits(spark):
+    keys = ["sk-AbCdEfGhIjKlMnOpQrStUv", "AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdEFGHij" * 3 + "klmnop", "abcdef" * 6, "FEDCBA" * 6]
+    got = replace_pii(spark.createDataFrame([(i, f"the key is {k} and it works") for i, k in enumerate(keys)], "doc_id long, text string"), "k", count="n").collect()
+    assert all(r["n"] == 1 and keys[r["doc_id"]] not in r["text"] for r in got) and len(got) == len(keys)
+
+
 def test_collisions_are_resolved(spark):
     entities = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)] + [("person", f"f:p{i} q") for i in range(700)], "kind string, entity string")
     got = distinct_surrogates(entities, "k").collect()
