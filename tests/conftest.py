@@ -33,8 +33,3 @@ def data_dir():
     if not os.path.isdir(folder):
         pytest.skip("no test tables here")
     return folder
-
-
-def rows(df):
-    """Rows as sorted tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -9,7 +9,7 @@ from cellwise.operators import coefficients, raster
 from cellwise.plans.api import Full, Stochastic, Stratified, Systematic, parse_iterations, splat
 from cellwise.schema import RegionfieldMeta, check_complete, resolve_window
 
-from conftest import rows
+from grid_rows import rows
 
 FIELD = ["02121232", "03022330", "03230301", "03103202", "02331113", "02311232"]
 META = RegionfieldMeta(6, 8, 4)

@@ -12,7 +12,7 @@ from cellwise.schema import RegionfieldMeta, check_complete
 from cellwise.sources.tables import read_field, read_results, write_field, write_masks, write_results
 from cellwise.streaming.kernels import start_kernels
 
-from conftest import rows
+from grid_rows import rows
 
 META = RegionfieldMeta(17, 17, 4)
 

@@ -11,7 +11,7 @@ from cellwise.schema import RegionfieldMeta
 from cellwise.sources import tiff
 from pyspark.sql import functions as F
 
-from conftest import rows
+from grid_rows import rows
 
 
 @settings(max_examples=30, deadline=None)
