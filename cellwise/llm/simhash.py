@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import durable
+from cellwise.llm.common import broadcast_if_small, durable
 from cellwise.llm.components import smallest_reachable
 
 SEED = 42
@@ -245,116 +245,224 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: For similarity: texts meet under the least of ROWS hashes, BANDS times. A pair of similarity 0.8 meets in none of them once in 7 million.
-BANDS, ROWS = 40, 5
-#: Shingles of one of the two blocks of texts that a task compares.
+#: For similarity: bits of a text's fingerprint, those of them that travel with every key, and how often a pair at the limit may be missed.
+WIDE, CARRIED, MISSED = 1024, 192, 1e-4
+#: Rows up to which a key has 16 bits; beyond, 24.
+FEW = 1 << 28
+#: Shingles of a block of texts that a task compares with another.
 BLOCK = 500_000
 
 
-def _odd(n: int) -> np.ndarray:
-    """n fixed odd factors."""
-    return _mixed(np.arange(n, dtype=np.uint64), 1) | np.uint64(1)
+def apart(similarity: float) -> float:
+    """The share of fingerprint bits in which two sets of equal size and this Jaccard similarity differ: their angle over a half turn."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: of the least values of the hashes under its ROWS orders, and of its number."""
-    turns, least = _odd(2 * BANDS * ROWS), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[None, at : at + 4096]
-        least = np.minimum(least, ((part ^ turns[1::2, None]) * turns[::2, None]).min(axis=1))
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = _mixed(keys ^ row, 1)
-    return keys
+def wide_masks(similarity: float, texts: int) -> tuple[np.ndarray, int]:
+    """(the bits of each mask, the limit of differing bits among those carried) for pairs of `similarity`.
+
+    A mask is 16 or 24 random places of the fingerprint, so texts stand under a mask in nodes of the bits that they have
+    there. There are as many masks as it takes for a pair to meet in none with a chance of MISSED; the limit is 4.6
+    standard deviations above what such a pair differs by. Neither depends on the number of texts, but for the bits.
+    """
+    bits, p = 16 if texts <= FEW else 24, apart(similarity)
+    meets = (1 - p) ** bits
+    masks = int(np.ceil(np.log(MISSED) / np.log1p(-meets))) if meets < 1 else 1
+    random = np.random.default_rng(SEED)
+    places = np.stack([random.choice(WIDE, bits, replace=False) for _ in range(masks)])
+    return places, min(CARRIED, int(CARRIED * p + 4.6 * np.sqrt(CARRIED * p * (1 - p))) + 1)
+
+
+_WORDS: dict[bytes, int] = {}
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of each word; common words are remembered, until there are too many."""
+    try:
+        return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    except KeyError:
+        if len(_WORDS) > 500_000:
+            _WORDS.clear()
+        found = [_WORDS[w] if w in _WORDS else xxhash.xxh64_intdigest(w, SEED) for w in words]
+        _WORDS.update((w, h) for w, h in zip(words, found, strict=True) if len(w) < 64)
+        return np.array(found, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different word shingles of a text, as sorted 64-bit hashes; words as in shingle_hashes."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    w = word_hashes(words)
+    n = max(1, len(w) - shingle + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(min(shingle, len(w))):
+        h = _mixed(h ^ w[k : k + n], k + 1)
+    return np.unique(h)
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """WIDE bits for each set, as bytes: bit i of word k is set if it is in over half of the k-th mixed hashes."""
+    turns = np.arange(WIDE // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    counts = np.zeros((len(sets), WIDE), dtype=np.int32)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    for at in range(0, len(every), 2048):
+        x = every[at : at + 2048, None] + turns
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        owner = of[at : at + 2048]
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)], strict=True):
+            for c in range(a, b, 255):
+                counts[owner[a]] += np.add.reduce(bits[c : min(b, c + 255)], axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little")
 
 
 def _print_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, bands = [], []
-        for text in batch.column(2):
-            hashes = np.unique(np.array(shingle_hashes(text.as_py(), shingle), dtype=np.uint64))
-            words.append(xxhash.xxh3_128_digest(b" ".join((text.as_py() or "").encode().lower().split())))
-            bands.append(band_keys(hashes).view(np.int64) if len(hashes) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "k", "words", "bands"])
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            texts = [t or "" for t in part.column(2).to_pylist()]
+            sets = [shingle_set(t, shingle) for t in texts]
+            prints = wide_fingerprints(sets)
+            words = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in texts]
+            bits = [p.tobytes() if len(x) else None for p, x in zip(prints, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words, pa.binary()), pa.array(bits, pa.binary())], names=["id", "k", "words", "bits"])
+
+
+KEYED = ", ".join(["rep long", "key long", *(f"f{k} long" for k in range(CARRIED // 64))])
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each text and mask: the text, the node (mask and bits), and the carried words."""
+    masks, names = len(places), [x.split()[0] for x in KEYED.split(", ")]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            prints = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, WIDE // 8)
+            chosen = np.unpackbits(prints, axis=1, bitorder="little")[:, places.reshape(-1)].reshape(len(prints), masks, -1)
+            pattern = np.packbits(chosen, axis=2).astype(np.int64) @ (1 << 8 * np.arange(places.shape[1] // 8))
+            key = pattern + (np.arange(masks, dtype=np.int64) << 32)
+            carried = np.ascontiguousarray(prints[:, : CARRIED // 8]).view("<i8")
+            columns = [np.repeat(part.column(0).to_numpy(), masks), key.reshape(-1), *(np.repeat(c, masks) for c in carried.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(np.array(shingle_hashes(t.as_py(), shingle), dtype=np.uint64)).view(np.int64) for t in batch.column(2)]
+        sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "component", "shingles"])
 
 
 def _similar(table: pa.Table, similarity: float) -> pa.Table:
-    """A spanning forest of the pairs of a group whose Jaccard similarity, counted from the sets, is at least `similarity`."""
+    """The links between a group's rows that seek and those that do not, whose Jaccard similarity, counted from the sets, is at least `similarity`; as a forest."""
     table = table.combine_chunks()
-    _, first = np.unique(table.column("node").to_numpy(), return_index=True)
-    table = table.take(pa.array(first)).combine_chunks()  # rows that are equal in all are one
-    nodes, sets = table.column("node").to_numpy(), table.column("shingles").combine_chunks()
-    sizes = np.diff(sets.offsets.to_numpy())
-    _, value = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-    of = np.repeat(np.arange(len(nodes)), sizes)
-    order = np.argsort(value, kind="stable")  # texts stand in order under each shingle
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    under, starts = of[order], np.searchsorted(value[order], np.arange(value.max() + 1 if len(value) else 0))
-    ends = np.cumsum(sizes)
-    parent = np.arange(len(nodes))
-    for x in range(1, len(nodes)):
-        mine = slice(ends[x] - sizes[x], ends[x])
-        begin = starts[value[mine]]
-        n = place[mine] - begin  # texts before x that hold the shingle
-        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shared = np.bincount(under[at], minlength=x)
-        near = np.flatnonzero(shared >= similarity * (sizes[x] + sizes[:x] - shared) - 1e-9)
+    seeks = table.column("seeks").to_numpy(zero_copy_only=False)
+    out = {"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)}
+    if not seeks.any() or seeks.all():
+        return pa.table(out)
+    mine, others = (table.filter(pa.array(s)).combine_chunks() for s in (seeks, ~seeks))
+    sets, held = mine.column("shingles").combine_chunks(), others.column("shingles").combine_chunks()
+    sizes, want = np.diff(held.offsets.to_numpy()), np.diff(sets.offsets.to_numpy())
+    of, values = np.repeat(np.arange(len(sizes)), sizes), held.flatten().to_numpy()
+    order = np.argsort(values, kind="stable")
+    under, values = of[order], values[order]
+    sought = sets.flatten().to_numpy()
+    low, high = np.searchsorted(values, sought, side="left"), np.searchsorted(values, sought, side="right")
+    names, other = mine.column("node").to_numpy(), others.column("node").to_numpy()
+    nodes, at = np.unique(np.r_[names, other], return_inverse=True)
+    parent, ends = np.arange(len(nodes)), np.cumsum(want)
+    for x in range(len(names)):
+        begin, n = low[ends[x] - want[x] : ends[x]], (high - low)[ends[x] - want[x] : ends[x]]
+        places = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(under[places], minlength=len(sizes))
+        near = np.flatnonzero(shared >= similarity * (want[x] + sizes - shared) - 1e-9)
         if len(near):
-            unite(parent, np.full(len(near), x), near)
+            unite(parent, np.full(len(near), at[x]), at[len(names) + near])
     while (parent[parent] != parent).any():
         parent = parent[parent]
     child = np.flatnonzero(parent != np.arange(len(nodes)))
     return pa.table({"a": nodes[child], "b": nodes[parent[child]]})
 
 
-def similar_classes(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(node, component) of the nodes that have another of at least `similarity`: the smallest node reached over such links.
+def verified(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): links of at least `similarity` that hold the components together which such links have within each candidate component.
 
-    classes: node, k, bands. texts: k, text. Texts that meet under a key are candidates; every two texts of a component
-    of candidates are then compared by their whole sets. A component of over `block` shingles is cut into blocks, and a
-    task compares two of them.
+    candidates: node, component (its smallest node), k. texts: k, text. Every text of a component is compared with its
+    smallest one first, so a group of copies of one text, of any size, is done in one pass. The texts that this leaves
+    open are compared with all of their component by the whole sets, in blocks of about `block` shingles.
     """
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), "b")
-    candidates = smallest_reachable(keyed.join(least, F.col("key") == F.col("_key")).where("node <> b").select(F.col("node").alias("a"), "b"))
-    wanted = classes.select(F.col("node").alias("_node"), F.col("k").alias("_k")).join(candidates, F.col("node") == F.col("_node")).select("_k", "node", "component")
+    n = candidates.count()
+    wanted = broadcast_if_small(candidates.select("node", "component", F.col("k").alias("_k")), n)
     read = texts.join(wanted, F.col("k") == F.col("_k")).select("node", "component", "text")
-    sets = durable(read.mapInArrow(lambda b: _set_batches(b, shingle), "node long, component long, shingles array<long>"))
-    blocks = sets.groupBy(F.col("component").alias("_component")).agg(F.ceil(F.sum(F.size("shingles")) / F.lit(block)).cast("int").alias("n"))
-    mine, other = F.pmod(F.xxhash64("node"), F.col("n")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    dealt = sets.join(blocks, F.col("component") == F.col("_component")).select("node", "component", "shingles", mine.alias("mine"), other.alias("other"))
-    pairs = dealt.groupBy("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    return smallest_reachable(pairs.applyInArrow(lambda t: _similar(t, similarity), "a long, b long"))
+    sets = durable(read.mapInArrow(lambda b: _set_batches(b, shingle), "node long, component long, shingles array<long>").dropDuplicates(["node"]))
+
+    def blocks(of: DataFrame, name: str) -> DataFrame:
+        """The components of several blocks: no more than there are blocks' worth of shingles."""
+        counted = of.groupBy(F.col("component").alias("_component")).agg(F.ceil(F.sum(F.size("shingles")) / F.lit(block)).cast("int").alias(name)).where(f"{name} > 1")
+        return broadcast_if_small(counted, counted.count())
+
+    several = blocks(sets, "n")
+    dealt = sets.join(several, F.col("component") == F.col("_component"), "left").select("node", "component", "shingles", F.coalesce("n", F.lit(1)).alias("n"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    first = dealt.where("node = component").select(F.col("component").alias("_first"), F.col("shingles").alias("_shingles"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_mine"))
+    met = dealt.join(first, (F.col("component") == F.col("_first")) & (F.col("mine") == F.col("_mine")))
+    shared = F.size(F.array_intersect("shingles", "_shingles"))
+    near = shared >= F.lit(similarity) * (F.size("shingles") + F.size("_shingles") - shared) - F.lit(1e-9)
+    told = durable(met.select("node", "component", "shingles", "n", "mine", near.alias("near")))
+
+    rest = told.where("NOT near")
+    many = blocks(rest, "u")
+    each = told.join(many, F.col("component") == F.col("_component"), "left").select("node", "component", "shingles", "n", "mine", "near", F.coalesce("u", F.lit(1)).alias("u"))
+    held = each.select("node", "component", "shingles", F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("i"), F.col("mine").alias("j"))
+    seek = each.where("NOT near").select("node", "component", "shingles", F.lit(True).alias("seeks"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("u")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    found = held.unionByName(seek).groupBy("component", "i", "j").applyInArrow(lambda t: _similar(t, similarity), "a long, b long")
+    return told.where("near AND node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+
+
+def similar_classes(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = BLOCK, rows_per_partition: int = 200_000) -> DataFrame:
+    """(node, component) of the nodes that have another of at least `similarity`: the smallest node reached over such links.
+
+    classes: node, k, bits (fingerprints of WIDE bits, null for texts without words). texts: k, text. The upper nodes of
+    the index are masked bit patterns, wide_masks says how many; below one, texts are in Gray order, and those that
+    differ in few enough of the carried bits are candidates. Their sets of shingles decide.
+    """
+    n = classes.count()
+    places, limit = wide_masks(similarity, n)
+    words, parts = CARRIED // 64, max(1, -(-n * len(places) // rows_per_partition), min(64, n // 500))
+    keyed = classes.where("bits IS NOT NULL").select("node", "bits").mapInArrow(lambda b: _key_batches(b, places), KEYED)
+    met = keyed.repartition(parts, "key").mapInArrow(lambda b: _forest(b, words, limit), "a long, b long")
+    candidates = smallest_reachable(met)
+    named = classes.select(F.col("node").alias("_node"), "k").join(broadcast_if_small(candidates, candidates.count()), F.col("node") == F.col("_node"))
+    return smallest_reachable(verified(durable(named.select("node", "component", "k")), texts, shingle, similarity, block))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """docs without near copies, with all columns: of each component of links, one row stays.
 
-    Two texts are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`; the sets
-    themselves are compared, keys only choose which. Rows are told apart by id and text, so texts under one id are
-    compared like any others, and rows with a null id too. The smallest id stays, a null id last; of different texts
-    under it the one with the smallest digest, of rows that agree in both the smallest row. All texts without words
-    (null, empty, white space) are copies of each other.
+    Two texts are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`. Their
+    fingerprints, through the Gray-order index, choose which texts are compared; the sets themselves decide. Rows are
+    told apart by id and text, so texts under one id are compared like any others, and rows with a null id too. The
+    smallest id stays, a null id last; of different texts under it the one with the smallest digest, of rows that agree
+    in both one. All texts without words (null, empty, white space) are copies of each other.
     """
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("k"), F.col(text).alias("text"))
-    prints = durable(slim.mapInArrow(lambda b: _print_batches(b, shingle), "id long, k binary, words binary, bands array<long>"))
+    prints = durable(slim.mapInArrow(lambda b: _print_batches(b, shingle), "id long, k binary, words binary, bits binary"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k")
-    grouped = prints.groupBy("words").agg(F.min(order).alias("best"), F.first("bands").alias("bands"))
+    grouped = prints.groupBy("words").agg(F.min(order).alias("best"), F.first("bits").alias("bits"))
     classes = durable(grouped.withColumn("node", F.monotonically_increasing_id()))
-    component = similar_classes(classes.select("node", F.col("best.k").alias("k"), "bands"), slim.select("k", "text"), shingle, similarity, block)
-    labelled = classes.select(F.col("node").alias("_node"), "words", "best").join(component, F.col("node") == F.col("_node"), "left").select(F.col("words").alias("_words"), "best", F.coalesce("component", "_node").alias("component"))
+    component = similar_classes(classes.select("node", F.col("best.k").alias("k"), "bits"), slim.select("k", "text"), shingle, similarity, block)
+    labelled = classes.select(F.col("node").alias("_node"), "words", "best").join(broadcast_if_small(component, component.count()), F.col("node") == F.col("_node"), "left")
+    labelled = labelled.select(F.col("words").alias("_words"), "best", F.coalesce("component", "_node").alias("component"))
     winners = labelled.groupBy(F.col("component").alias("_component")).agg(F.min("best").alias("stays"))
     stays = labelled.join(winners, F.col("component") == F.col("_component")).select("_words", F.col("stays.k").alias("stays"))
     rows = prints.groupBy("k", "words").agg(F.count("*").alias("n")).join(stays, F.col("words") == F.col("_words"))
-    flags = rows.select(F.col("k").alias("_k"), (F.col("k") != F.col("stays")).alias("_gone"), "n").where("_gone OR n > 1").select("_k", "_gone")
-    marked = docs.withColumn("_key", key).join(durable(flags), F.col("_key") == F.col("_k"), "left")
-    several = marked.where("NOT _gone").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return marked.where("_k IS NULL").select(docs.columns).unionByName(several.select("_row.*"))
+    flags = durable(rows.select(F.col("k").alias("_k"), (F.col("k") != F.col("stays")).alias("gone"), "n").where("gone OR n > 1").select("_k", "gone"))
+    whole = docs.select(F.struct("*").alias("row"), key.alias("k"))  # names of docs' columns clash with none of ours
+    marked = whole.join(broadcast_if_small(flags, flags.count()), F.col("k") == F.col("_k"), "left")
+    several = marked.where("NOT gone").groupBy("k").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return marked.where("_k IS NULL").select("row.*").unionByName(several.select("row.*"))
