@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import ensure_checkpoint_dir, release
+from cellwise.llm.common import durable, ensure_checkpoint_dir
 from cellwise.llm.suffix_array import permuted_prefixes, suffix_array
 
 GRAM = 16
 TEXT_AT_ONCE = 1 << 18
+#: Buckets of the table of classes at most; Spark allows 100,000. Shards and parts have no such bound.
+MOST_BUCKETS = 50_000
+#: Bytes that a strip takes, about.
+STRIP = 80
 #: Ids count as this if they are null: larger than any other.
 NO_ID = (1 << 63) - 1
 
@@ -133,8 +139,8 @@ def _bucket_classes(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([bucket] * len(texts), pa.int64()), pa.array([(bucket << 32) + i for i in range(len(texts))], pa.int64()), pa.array([int(i[0]) for i in ids], pa.int64()), pa.array(texts, pa.binary()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["bucket", "class", "first", "text", "ids"])
 
 
-# 2. Hashes that stand in two classes at least. A hash travels as 40 bits: the part that it goes to holds few enough of them
-# that two rarely agree, and if they do, a strip too many is sent, no more. Classes travel as their numbers in the bucket.
+# 2. Hashes that stand in two classes at least. A bucket sends each of its hashes once, as 40 bits: the part that it goes to
+# holds few enough of them that two rarely agree, and if they do, a strip too many is sent, no more.
 
 SHORT = np.uint64((1 << 40) - 1)
 
@@ -155,90 +161,120 @@ def _joined40(column: pa.ChunkedArray) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, class) of all rows (bucket, hashes, numbers)."""
-    numbers = _joined(group.column("numbers"), "<u4").astype(np.int64)
-    each = [len(x) // 4 for x in group.column("numbers").to_pylist()]
-    return _joined40(group.column("hashes")), numbers + (np.repeat(group.column("bucket").to_numpy(), each) << 32)
+def _lengths(column: pa.ChunkedArray, size: int) -> list[int]:
+    return [len(x) // size for x in column.to_pylist()]
 
 
-HASHES = "part long, bucket long, hashes binary, numbers binary"
+def _columns(rows: list[tuple], longs: int, names: list[str]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], pa.int64() if k < longs else pa.binary()) for k in range(len(names))], names=names)
 
 
-def _rows_of(part: np.ndarray, bucket: np.ndarray, value: np.ndarray, numbers: np.ndarray, names: list[str]) -> pa.Table:
-    rows = []
-    for p, i in _split_by(part):
-        for b, j in _split_by(bucket[i]):
-            rows.append((p, b, _blob40(value[i][j]), _blob(numbers[i][j], "<u4")))
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+#: Hashes that one class of the bucket has, and those that several have, with how many strips they name.
+HASHES = "part long, bucket long, once binary, often binary, counts binary"
+#: Hashes that two classes have at least; the crowded ones with the number of shards that share their windows.
+SHARED = "part long, bucket long, hashes binary, crowded binary, splits binary"
 
 
-def _class_hashes(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in HASHES.split(", ")]
-    for batch in batches:
-        classes = batch.column(0).to_numpy()
-        found = []
-        for at, texts in _some(batch.column(1).to_pylist()):
-            of, _, _, value = strips(texts, width)
-            found.append((classes[at + of], value))
-        if found:
-            cls, value = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield from _rows_of((value % np.uint64(parts)).astype(np.int64), cls >> 32, _short(value, parts), cls & 0xFFFFFFFF, names).to_batches()
-
-
-def _shared_hashes(group: pa.Table) -> pa.Table:
-    value, classes = _pairs(group)
-    order = np.argsort(value, kind="stable")
-    value, classes = value[order], classes[order]
-    first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    several = np.minimum.reduceat(classes, first) != np.maximum.reduceat(classes, first)
-    keep = np.repeat(several, np.diff(np.r_[first, len(value)]))
-    value, classes = value[keep], classes[keep]
-    part = np.full(len(value), group.column("part")[0].as_py())
-    return _rows_of(part, classes >> 32, value, classes & 0xFFFFFFFF, ["part", "bucket", "hashes", "numbers"])
+def _names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-# 3. The strips under these hashes, sent to the hashes' shards: each different string of a bucket once, with its places.
+def _bucket_hashes(own: pa.Table, width: int, parts: int) -> pa.Table:
+    found, rows = [], []
+    for at, texts in _some(own.column("text").to_pylist()):
+        of, _, _, value = strips(texts, width)
+        found.append((at + of, value))
+    of, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(value):
+        order = np.argsort(value, kind="stable")
+        value, of = value[order], of[order]
+        first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        counts = np.diff(np.r_[first, len(value)])
+        several = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+        value = value[first]
+        bucket, short = own.column("bucket")[0].as_py(), _short(value, parts)
+        for p, i in _split_by((value % np.uint64(parts)).astype(np.int64)):
+            many = several[i]
+            rows.append((p, bucket, _blob40(short[i[~many]]), _blob40(short[i[many]]), _blob(counts[i[many]], "<u4")))
+    return _columns(rows, 2, _names_of(HASHES))
+
+
+def _shared_hashes(group: pa.Table, crowd: int) -> pa.Table:
+    buckets = group.column("bucket").to_numpy()
+    once, often = _joined40(group.column("once")), _joined40(group.column("often"))
+    value = np.concatenate((once, often))
+    bucket = np.concatenate((np.repeat(buckets, _lengths(group.column("once"), 5)), np.repeat(buckets, _lengths(group.column("often"), 5))))
+    counts = np.concatenate((np.ones(len(once), dtype=np.int64), _joined(group.column("counts"), "<u4").astype(np.int64)))
+    order = np.argsort(value, kind="stable")
+    value, bucket, counts = value[order], bucket[order], counts[order]
+    rows: list[tuple] = []
+    if len(value):
+        first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        sizes, total = np.diff(np.r_[first, len(value)]), np.add.reduceat(counts, first)
+        keep, split = np.repeat(total > 1, sizes), np.repeat(-(-total // crowd), sizes)
+        value, bucket, split = value[keep], bucket[keep], split[keep]
+        part = group.column("part")[0].as_py()
+        for b, i in _split_by(bucket):
+            full = split[i] > 1
+            rows.append((part, b, _blob40(value[i[~full]]), _blob40(value[i[full]]), _blob(split[i[full]], "<u4")))
+    return _columns(rows, 2, _names_of(SHARED))
+
+
+# 3. The strips under these hashes, sent to the hashes' shards: each different string of a bucket once, with its places. The
+# strips of a crowded hash are cut into their windows, and equal windows go to one of its shards.
 
 STRIPS = ("shard", "bucket", "bytes", "sizes", "strings", "numbers", "starts", "known", "firsts")
 
 
-def _keys(part: np.ndarray, short: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """One number for part, hash and class of a bucket. Two that agree by chance send a strip too many, no more."""
-    x = short * np.uint64(0x9E3779B97F4A7C15) ^ part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+def _keys(part: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """One number for part and hash. Two that agree by chance send a strip too many, no more."""
+    x = short * np.uint64(0x9E3779B97F4A7C15) ^ part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return x ^ (x >> np.uint64(29))
 
 
-def _shared_strips(own: pa.Table, shared: pa.Table, width: int, shards: int) -> pa.Table:
-    out: list[list] = [[] for _ in STRIPS]
+def _windows(texts: list[bytes], of: np.ndarray, first: np.ndarray, sizes: np.ndarray, value: np.ndarray, splits: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The windows of strips as strips of their own: text, first, size and a hash in which the window has a say."""
+    n = sizes - width + 1
+    which = np.repeat(np.arange(len(of)), n)
+    begin = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    own = np.array([zlib.crc32(texts[t][a : a + width]) for t, a in zip(of[which].tolist(), begin.tolist(), strict=True)], dtype=np.uint64)
+    mixed = (value[which] ^ (own % splits[which].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    return of[which], begin, np.full(len(which), width, dtype=np.int64), mixed ^ (mixed >> np.uint64(32))
+
+
+def _shared_strips(own: pa.Table, shared: pa.Table, width: int, parts: int) -> pa.Table:
+    rows: list[tuple] = []
     if own.num_rows and shared.num_rows:
         bucket = own.column("bucket")[0].as_py()
         numbers, firsts, texts = own.column("class").to_numpy() & 0xFFFFFFFF, own.column("first").to_numpy(), own.column("text").to_pylist()
-        value, classes = _pairs(shared)
-        each = [len(x) // 4 for x in shared.column("numbers").to_pylist()]
-        wanted = np.unique(_keys(np.repeat(shared.column("part").to_numpy(), each), value, classes & 0xFFFFFFFF))
-        seen: list[dict[bytes, int]] = [{} for _ in range(shards)]
-        places: list[list[tuple]] = [[] for _ in range(shards)]
+        part = shared.column("part").to_numpy()
+        plain = _keys(np.repeat(part, _lengths(shared.column("hashes"), 5)), _joined40(shared.column("hashes")))
+        full = _keys(np.repeat(part, _lengths(shared.column("crowded"), 5)), _joined40(shared.column("crowded")))
+        split = np.concatenate((np.ones(len(plain), dtype=np.int64), _joined(shared.column("splits"), "<u4").astype(np.int64)))
+        wanted, at = np.unique(np.concatenate((plain, full)), return_index=True)
+        split = split[at]
+        seen: dict[int, dict[bytes, int]] = defaultdict(dict)
+        places: dict[int, list[tuple]] = defaultdict(list)
         for at, some in _some(texts):
             of, first, n, value = strips(some, width)
-            shard = (value % np.uint64(shards)).astype(np.int64)
-            key = _keys(shard, _short(value, shards), numbers[at + of])
+            key = _keys((value % np.uint64(parts)).astype(np.int64), _short(value, parts))
             place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             hit = np.flatnonzero(wanted[place] == key)
-            of, first, sizes, shard = of[hit], first[hit], n[hit] + width - 1, shard[hit]
-            for q, i in _split_by(shard):
+            of, first, sizes, value, splits = of[hit], first[hit], n[hit] + width - 1, value[hit], split[place[hit]]
+            crowded = splits > 1
+            if crowded.any():
+                cut = _windows(some, of[crowded], first[crowded], sizes[crowded], value[crowded], splits[crowded], width)
+                of, first, sizes, value = (np.concatenate((x[~crowded], y)) for x, y in zip((of, first, sizes, value), cut, strict=True))
+            for q, i in _split_by((value % np.uint64(parts)).astype(np.int64)):
                 known = seen[q]
                 strings = [known.setdefault(some[t][a : a + z], len(known)) for t, a, z in zip(of[i].tolist(), first[i].tolist(), sizes[i].tolist(), strict=True)]
                 places[q].append((np.array(strings, dtype="<u4"), (at + of[i]).astype("<u4"), first[i].astype("<u4")))
-        for q in range(shards):
-            if seen[q]:
-                strings, rows, starts = (np.concatenate(x) for x in zip(*places[q], strict=True))
-                present, which = np.unique(rows, return_inverse=True)
-                sizes = np.fromiter(map(len, seen[q]), dtype="<u4", count=len(seen[q]))
-                for column, v in zip(out, (q, bucket, _squeezed(b"".join(seen[q])), sizes.tobytes(), strings.tobytes(), _blob(which, "<u4"), starts.tobytes(), _blob(numbers[present], "<u4"), _blob(firsts[present], "<i8")), strict=True):
-                    column.append(v)
-    return pa.table([pa.array(v, pa.int64() if k < 2 else pa.binary()) for k, v in enumerate(out)], names=list(STRIPS))
+        for q, known in seen.items():
+            strings, rows_of, starts = (np.concatenate(x) for x in zip(*places[q], strict=True))
+            present, which = np.unique(rows_of, return_inverse=True)
+            sizes = np.fromiter(map(len, known), dtype="<u4", count=len(known))
+            rows.append((q, bucket, _squeezed(b"".join(known)), sizes.tobytes(), strings.tobytes(), _blob(which, "<u4"), starts.tobytes(), _blob(numbers[present], "<u4"), _blob(firsts[present], "<i8")))
+    return _columns(rows, 2, list(STRIPS))
 
 
 # 4. A suffix array of each shard's different strips; windows that share `width` bytes with an earlier document's.
@@ -254,7 +290,7 @@ def repeated_windows(strings: list[bytes], firsts: np.ndarray, width: int) -> tu
     of = np.repeat(np.arange(len(strings)), windows)
     place = np.repeat(starts, windows) + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     # Symbols one up: zero is the sentinel's. A zero byte of a text stays below all others.
-    order = suffix_array(np.r_[text[:n].astype(np.uint16) + 1, np.uint16(0)], 257, width)
+    order = suffix_array(np.r_[text[:n].astype(np.uint16) + 1, np.uint16(0)], 257)
     number = np.full(n + 1, -1, dtype=np.int64)
     number[place] = np.arange(len(place))
     ranked = order[number[order] >= 0]  # suffixes that begin a whole window
@@ -332,15 +368,17 @@ def _kept(own: pa.Table, removed: pa.Table, width: int, texts_too: bool) -> pa.T
     return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=names)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", bytes_per_task: int = 8 << 20, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", text: str = "text", bytes_per_task: int = 8 << 20, texts: bool = False, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row: without each byte that a string of `width` bytes covers
     which also starts in a row with a smaller id. texts: also the text that is left (a character cut in two goes).
 
     Strings are judged on the input, as UTF-8 bytes; they never cross rows. A null text is empty. A null id counts as larger than
     all others; rows of equal ids take nothing from each other. An empty table gives no rows. Other columns are not carried.
 
-    The classes of equal texts are written to the shared checkpoint folder once, as a bucketed table; no task holds more than a bucket's
-    texts or a shard's different strips. A gram in very many texts costs its shard some 12 bytes for each.
+    The classes of equal texts are written to the shared checkpoint folder once, as a table in buckets of about
+    `bytes_per_task` (of more, once there are `most_buckets`), which is dropped when the result is in that folder. A task
+    holds a bucket's texts or a shard's different strips; the windows of a gram whose strips alone would fill half a shard
+    are dealt to several. Rows between buckets and shards are one for each pair that shares strips.
     """
     if width < GRAM:
         raise ValueError(f"width must be {GRAM} at least")
@@ -348,18 +386,22 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, -(-total // bytes_per_task))
+    buckets, crowd = min(parts, most_buckets), max(1, bytes_per_task // (2 * STRIP))
     ensure_checkpoint_dir(spark)
     name = f"cellwise_classes_{uuid.uuid4().hex}"
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
-    batched = slim.mapInArrow(lambda b: _batch_classes(b, parts), PARCELS)
-    # A table bucketed as the later steps need it: its texts are shuffled once, here.
-    batched.groupBy("bucket").applyInArrow(_bucket_classes, CLASSES).write.bucketBy(parts, "bucket").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    del batched
-    release(spark)
-    classes = spark.table(name)
-
-    hashed = classes.select("class", "text").mapInArrow(lambda b: _class_hashes(b, width, parts), HASHES)
-    shared = hashed.groupBy("part").applyInArrow(_shared_hashes, HASHES)
-    sent = classes.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(lambda a, b: _shared_strips(a, b, width, parts), ", ".join(f"{c} {'long' if k < 2 else 'binary'}" for k, c in enumerate(STRIPS)))
-    removed = sent.groupBy("shard").applyInArrow(lambda t: _removed(t, width), "bucket long, numbers binary, lows binary, sizes binary")
-    return classes.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(lambda a, b: _kept(a, b, width, texts), REPORT + (", text string" if texts else ""))
+    try:
+        batched = slim.mapInArrow(lambda b: _batch_classes(b, buckets), PARCELS)
+        # A table bucketed as the later steps need it: its texts are shuffled once, here.
+        batched.groupBy("bucket").applyInArrow(_bucket_classes, CLASSES).write.bucketBy(buckets, "bucket").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        classes = spark.table(name)
+
+        hashed = classes.select("bucket", "text").groupBy("bucket").applyInArrow(lambda t: _bucket_hashes(t, width, parts), HASHES)
+        shared = hashed.groupBy("part").applyInArrow(lambda t: _shared_hashes(t, crowd), SHARED)
+        sent = classes.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(lambda a, b: _shared_strips(a, b, width, parts), ", ".join(f"{c} {'long' if k < 2 else 'binary'}" for k, c in enumerate(STRIPS)))
+        removed = sent.groupBy("shard").applyInArrow(lambda t: _removed(t, width), "bucket long, numbers binary, lows binary, sizes binary")
+        return durable(classes.groupBy("bucket").cogroup(removed.groupBy("bucket")).applyInArrow(lambda a, b: _kept(a, b, width, texts), REPORT + (", text string" if texts else "")))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

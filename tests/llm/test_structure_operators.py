@@ -256,23 +256,27 @@ def test_one_of_each_keeps_rows_of_one_id(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 4), max_size=70), st.sampled_from([0, 1024]))
-def test_suffix_arrays(text, most_names):
-    import cellwise.llm.suffix_array as module
-
-    before, module.MOST_NAMES = module.MOST_NAMES, most_names
-    try:
-        s = np.array([*text, 0], dtype=np.uint8)
-        order = suffix_array(s, 5)
-        assert order.tolist() == sorted(range(len(s)), key=lambda i: bytes(s[i:]))
-        padded = np.r_[s, np.zeros(24, dtype=np.uint8)]
-        shared, by_place = permuted_prefixes(padded, order, 9)
-        data = padded.tobytes()
-        for n, rank in zip(shared.tolist(), by_place.tolist(), strict=True):
-            a, b = int(order[rank]), int(order[rank - 1]) if rank else None
-            assert n == (0 if b is None else next((k for k in range(9) if data[a + k] != data[b + k]), 9))
-    finally:
-        module.MOST_NAMES = before
+@given(st.integers(1, 40).flatmap(lambda k: st.lists(st.integers(1, k), max_size=90)))
+def test_suffix_arrays(text):
+    s = np.array([*text, 0], dtype=np.uint8)
+    order = suffix_array(s, 41)
+    assert order.tolist() == sorted(range(len(s)), key=lambda i: bytes(s[i:]))
+    padded = np.r_[s, np.zeros(24, dtype=np.uint8)]
+    shared, by_place = permuted_prefixes(padded, order, 9)
+    data = padded.tobytes()
+    for n, rank in zip(shared.tolist(), by_place.tolist(), strict=True):
+        a, b = int(order[rank]), int(order[rank - 1]) if rank else None
+        assert n == (0 if b is None else next((k for k in range(9) if data[a + k] != data[b + k]), 9))
+
+
+def test_suffix_arrays_of_many_names():
+    """Long enough for several recursions, for batches of many buckets, and for long runs."""
+    r = np.random.default_rng(1)
+    vocabulary = ["".join(chr(97 + c) for c in r.integers(0, 20, r.integers(2, 9))) for _ in range(3000)]
+    text = " ".join(vocabulary[i] for i in r.zipf(1.3, 20_000) % 3000) + "ab" * 300 + "word " * 200 + "a" * 500
+    data = text.encode()
+    order = suffix_array(np.r_[np.frombuffer(data, dtype=np.uint8).astype(np.uint16) + 1, np.uint16(0)], 257)
+    assert order.tolist() == [len(data), *sorted(range(len(data)), key=lambda i: data[i : i + 2000])]
 
 
 def brute_repeats(texts, width=50):
@@ -302,8 +306,10 @@ def test_repeat_edges(spark, edges, none):
     assert remove_repeats(none).count() == 0
     passage = "".join(chr(97 + i * 7 % 26) for i in range(25)) * 4
     texts = [(1, "x" * 49), (2, "x" * 50), (3, "y" + "x" * 50), (4, passage), (5, "é" * 25 + passage[3:60] + "é" * 30), (6, "é" * 60 + passage[:53]), (7, passage[:49]), (8, "a" * 5000), (9, "a" * 5000), (9, "a" * 400 + "b")]
-    got = remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), bytes_per_task=64)
-    assert sorted(map(tuple, got.collect()), key=repr) == brute_repeats(texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for options in ({"bytes_per_task": 64}, {"bytes_per_task": 320}, {"bytes_per_task": 64, "most_buckets": 3}):  # crowded grams are split; more parts than buckets
+        assert sorted(map(tuple, remove_repeats(docs, **options).collect()), key=repr) == brute_repeats(texts)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cellwise_classes")]
 
 
 # The pipeline.
