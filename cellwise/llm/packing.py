@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellwise.llm.common import durable
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space that a chunk boundary before a space would cut: such texts are encoded whole.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -26,7 +28,7 @@ class BestFit:
         self.capacity, self.open_bins = capacity, open_bins
         self.bits = 0  # bit f is set if an open bin has f free
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.n_open = self.n_bins = 0
+        self.n_open = self.n_bins = self.n_closed = 0
 
     def _take(self, free: int) -> int:
         bin_id = self.by_free[free].pop()
@@ -44,11 +46,12 @@ class BestFit:
             free, bin_id = self.capacity, self.n_bins
             self.n_bins += 1
         if left := free - length:
-            if self.n_open >= self.open_bins:
-                self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
             self.by_free[left].append(bin_id)
             self.bits |= 1 << left
             self.n_open += 1
+            if self.n_open > self.open_bins:
+                self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
+                self.n_closed += 1
         return bin_id, self.capacity - free
 
 
@@ -59,48 +62,61 @@ def _bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: Fixed value: how ByteLevel pre-tokenizers cut a text.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def _ranked(tokenizer_json: dict) -> dict[bytes, int] | None:
-    """The vocabulary as bytes by rank, if ids follow the merges' order; else None."""
-    model, of = tokenizer_json["model"], _bytes_of_symbols()
+    """The vocabulary as bytes by rank, if the file is a plain byte-level BPE whose ids follow its merges; else None."""
+    model, of, cut = tokenizer_json["model"], _bytes_of_symbols(), tokenizer_json.get("pre_tokenizer") or {}
+    if tokenizer_json.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     vocabulary = model["vocab"]
     if any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
         return None
-    special = {t["content"] for t in tokenizer_json.get("added_tokens", ())}
-    return {bytes(of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    added = {t["content"] for t in tokenizer_json.get("added_tokens", ())}
+    return {bytes(of[c] for c in token): i for token, i in vocabulary.items() if token not in added}
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, by a tokenizers file of a byte-level BPE.
+    """Token ids as little-endian 32-bit bytes, by a tokenizers file; the strings of its added tokens become their ids.
 
-    Such a BPE never merges over a boundary before a single space, so a text is split there and each chunk's ids are
-    remembered; texts with longer runs of white space are encoded whole. New chunks are merged by the file's own
-    vocabulary as ranks where its ids allow that, which takes half the time. The memory is emptied at `most` chunks.
+    A byte-level BPE never merges over a boundary before a single space, so a text is split there and each chunk's ids are
+    remembered; texts with longer runs of white space or an added token's string are encoded whole. New chunks are merged
+    by the file's own vocabulary as ranks, which takes half the time. Files of another kind encode all texts whole. The
+    memory is emptied at `most` chunks.
     """
 
     def __init__(self, tokenizer_path: str, most: int = 500_000):
-        import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
         with open(tokenizer_path, encoding="utf-8") as f:
-            ranks = _ranked(json.load(f))
-        self.ranked = ranks and tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            parsed = json.load(f)
+        self.added = [t["content"] for t in parsed.get("added_tokens", ())]
+        ranks = _ranked(parsed)
+        self.ranked = ranks and tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
         self.most = most
 
-    def ids(self, text: str) -> bytes:
-        if self.ranked:
-            return array("I", self.ranked.encode_ordinary(text)).tobytes()
+    def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.ranked.encode_ordinary(text)).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
         for text in texts:
+            if not self.ranked or any(t in text for t in self.added):
+                out.append(self.whole(text))
+                continue
             if "\0" in text or UNSAFE.search(text):
-                out.append(self.ids(text))
+                out.append(self._ids(text))
                 continue
             chunks = text.replace(" ", "\0 ").split("\0")
             try:
@@ -109,7 +125,7 @@ class Encoder:
                 if len(known) > self.most:
                     known.clear()
                 for chunk in set(chunks).difference(known):
-                    known[chunk] = self.ids(chunk)
+                    known[chunk] = self._ids(chunk)
                 out.append(b"".join(map(known.__getitem__, chunks)))
         return out
 
@@ -150,25 +166,30 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, sep
     return slim.mapInArrow(lambda batches: _pieces(batches, tokenizer_path, capacity, separator), PIECES)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, open_bins: int = 16_384, docs_per_group: int = 16_384, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, open_bins: int = 256, pieces_per_group: int = 32_768, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document's pieces with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Each document ends with the separator id; one of over `capacity` tokens is cut into pieces of `capacity`, the first
-    maybe shorter. Full pieces are sequences by themselves and need no packing; each document has one other piece at
-    most. Those are dealt by hash into groups of about `docs_per_group`, and each group is packed by itself, long pieces
-    first, so no task holds more than a group's lengths. Repeated rows are packed each; null ids stay null; an empty
-    table gives no rows. Columns other than the id and the text are not carried.
+    maybe shorter. Full pieces are sequences by themselves, with negative numbers; each document has one other piece at
+    most. Those are numbered as they come and dealt by a hash of the number into groups of about `pieces_per_group`; in
+    each, the stream of pieces is packed with `open_bins` bins open, so no task holds more than a group's lengths, however
+    many rows are equal. Repeated rows are packed each; null ids stay null; an empty table gives no rows. Columns other
+    than the id and the text are not carried.
     """
-    groups = max(1, -(-docs.count() // docs_per_group))
-    pieces = token_pieces(docs, tokenizer_path, capacity, separator, doc_id, text)
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(groups)))
+    numbered = token_pieces(docs, tokenizer_path, capacity, separator, doc_id, text).withColumn("row", F.monotonically_increasing_id())
+    pieces = durable(numbered)  # texts are encoded once, and a task that runs again finds the same numbers
+    partial = pieces.where(F.col("length") < capacity)
+    groups = max(1, -(-partial.count() // pieces_per_group))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values("row", kind="stable")
         bins = BestFit(capacity, open_bins)
         placed = [bins.place(n) for n in pdf["length"].tolist()]
         pdf["sequence_id"] = (int(pdf["g"].iloc[0]) << 36) + np.array([b for b, _ in placed], dtype="int64")
         pdf["offset"] = np.array([o for _, o in placed], dtype="int64")
-        return pdf.drop(columns="g")
+        return pdf.drop(columns=["g", "row"])
 
-    return dealt.groupBy("g").applyInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    dealt = partial.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    packed = dealt.groupBy("g").applyInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long")).drop("row")
+    return packed.unionByName(full)
