@@ -28,51 +28,62 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an open p ends at.
 ENDS_P = BLOCKS - frozenset(("br", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "summary", "legend", "figcaption", "body", "html", "head", "title"))
+#: Words of class, id and role attributes that name parts of a page beside its article.
 MARKS = frozenset(
     (
-        "ad ads adv advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs byline-share comment comments commentlist "
+        "ad ads adv advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist "
         "consent cookie cookies copyright disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
         "notices overlay pagination pager popup promo promoted promotion recommended related respond responses replies reply share sharing sidebar "
         "sidenav signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets alert toc"
     ).split()
 )
-#: With one of these in it, a compound name is about the page's layout ("has-sidebar", "ad-free"), unless it begins with a mark.
-LAYOUT = frozenset("no not has with without main content layout".split())
+#: Words that stand beside them in compound names: places and shapes. Any other word makes a name of the author's own.
+BESIDE = frozenset(
+    (
+        "site page top left right bottom global primary secondary reader readers user users posts post articles links link stories list lists item items "
+        "button buttons bar box block icon icons media section area inner outer wrap wrapper container content block group form thread row column col slot unit "
+        "text title main byline"
+    ).split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements in which an author sets out blocks that belong together.
+CONTAINERS = frozenset("article blockquote center div main section table td".split())
 
+#: Attributes of a tag: a quoted value only after an equals sign, so that a lone quote is a character.
+INSIDE_TAG = r"(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</(?P=raw)\s*[^>]*>|\Z)|\Z)"
-    r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b" + INSIDE_TAG + r"(?:(?<=/)>|>.*?(?:</(?P=raw)\s*[^>]*>|\Z)|\Z)"
+    r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>" + INSIDE_TAG + r")(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-MARKED = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|=\s*(?:\"[^\"]*\"|'[^']*')")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 
 
 def _marks(token: str) -> bool:
-    """Whether a class or id names boilerplate: as a whole, or as a compound of words such as "site-footer"."""
+    """Whether a class or id names boilerplate: a mark, or marks with words of place and shape ("site-footer", "related-posts").
+
+    A name with any other word is about content or layout: "related-work", "social-science", "has-sidebar".
+    """
     words = WORD.findall(token)
-    if token in MARKS:
-        return True
-    if MARKS.isdisjoint(words) or "free" in words:
-        return False
-    return words[0] in MARKS or LAYOUT.isdisjoint(words)
+    return not MARKS.isdisjoint(words) and all(w in MARKS or w in BESIDE for w in words)
 
 
 def is_boilerplate(name: str, attributes: str) -> bool:
-    """Whether an element's name, class, id, role or hiding marks it as no part of an article."""
+    """Whether an element's name, class, id, role or hiding marks it as no part of an article. Ids of headings are their slugs."""
     if name in BOILERPLATE:
         return True
     if not attributes or name in ("html", "body", "main", "article"):
         return False
-    for m in MARKED.finditer(attributes):
-        key, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "").lower()
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = (m[1] or "").lower(), next((x for x in m.groups()[1:] if x is not None), "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDING.search(value) or key == "role" and value.strip() in ROLES:
             return True
-        if key in ("class", "id") and any(map(_marks, value.split())):
+        if (key == "class" or key == "id" and name not in HEADINGS) and any(map(_marks, value.split())):
             return True
     return False
 
@@ -83,17 +94,56 @@ class Line:
     inside: bool  # within an article or main element
     boilerplate: bool
     linked: int = 0  # characters within links
+    container: int = 0  # number of the innermost container that it stands in; 0 is the page itself
+
+
+class _Open:
+    """The open elements, with counts that answer in one step what an end tag closes."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple] = []  # name, whether boilerplate, whether an article, container, blocks and other blocks than p up to it
+        self.places: dict[str, list[int]] = {}
+        self.bad = self.within = self.links = self.made = 0
+
+    @property
+    def container(self) -> int:
+        return self.stack[-1][3] if self.stack else 0
+
+    def blocks(self, k: int, at: int | None = None) -> int:
+        """Blocks (k 4), or those that are no p (k 5), among the elements up to place `at`, or among all."""
+        at = len(self.stack) - 1 if at is None else at
+        return self.stack[at][k] if at >= 0 else 0
+
+    def push(self, name: str, marked: bool, article: bool) -> None:
+        container = self.container
+        if name in CONTAINERS:
+            self.made += 1
+            container = self.made
+        block = name in BLOCKS
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, marked, article, container, self.blocks(4) + block, self.blocks(5) + (block and name != "p")))
+        self.bad, self.within, self.links = self.bad + marked, self.within + article, self.links + (name == "a")
+
+    def last(self, name: str) -> int | None:
+        found = self.places.get(name)
+        return found[-1] if found else None
+
+    def close(self, down_to: int) -> None:
+        while len(self.stack) > down_to:
+            name, marked, article, *_ = self.stack.pop()
+            self.places[name].pop()
+            self.bad, self.within, self.links = self.bad - marked, self.within - article, self.links - (name == "a")
 
 
 def text_lines(html: str) -> list[Line]:
     """The page's lines: text between block tags, markup stripped, references decoded, white space made one space.
 
-    Elements left open end with their parent; an end tag without a start is passed over.
+    Elements left open end with their parent; an end tag without a start is passed over. One pass, whatever stays open.
     """
     lines: list[Line] = []
     parts: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, whether boilerplate, whether an article
-    bad = within = links = linked = 0
+    now = _Open()
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -101,16 +151,10 @@ def text_lines(html: str) -> list[Line]:
             joined = "".join(parts)
             text = " ".join((unescape(joined) if "&" in joined else joined).split())
             if text:
-                lines.append(Line(text, within > 0, bad > 0, linked))
+                lines.append(Line(text, now.within > 0, now.bad > 0, linked, now.container))
             parts.clear()
             linked = 0
 
-    def close(down_to: int) -> None:
-        nonlocal bad, within, links
-        while len(open_) > down_to:
-            was, was_bad, was_article = open_.pop()
-            bad, within, links = bad - was_bad, within - was_article, links - (was == "a")
-
     at = 0
     while at < len(html):
         begin = html.find("<", at)
@@ -122,7 +166,7 @@ def text_lines(html: str) -> list[Line]:
             m = TOKEN.match(html, begin)
         if begin > at:
             parts.append(html[at:begin])
-            linked += begin - at if links else 0
+            linked += begin - at if now.links else 0
         if m is None:
             break
         at = m.end()
@@ -136,70 +180,61 @@ def text_lines(html: str) -> list[Line]:
         if name in BLOCKS:
             flush()
         if m["end"]:
-            place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            if place is not None:
-                if name not in BLOCKS and any(x[0] in BLOCKS for x in open_[place:]):
-                    continue  # an inline end tag does not end blocks
-                close(place)
+            place = now.last(name)
+            # An inline end tag does not end blocks.
+            if place is not None and (name in BLOCKS or now.blocks(4) == now.blocks(4, place)):
+                now.close(place)
         elif name not in VOID:
             if name in ENDS_P:
-                place = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == "p"), None)
-                if place is not None and not any(x[0] in BLOCKS and x[0] != "p" for x in open_[place + 1 :]):
-                    close(place)
+                place = now.last("p")
+                if place is not None and now.blocks(5) == now.blocks(5, place):
+                    now.close(place)
             marked = is_boilerplate(name, m["attributes"])
-            article = name in ("article", "main") and not bad
-            open_.append((name, marked, article))
-            bad, within, links = bad + marked, within + article, links + (name == "a")
+            now.push(name, marked, name in ("article", "main") and not now.bad)
     flush()
     return lines
 
 
-def blocks_between(lengths: np.ndarray, window: int, surge: int) -> list[tuple[int, int]]:
-    """(first, end) of the runs of lines between a surge and the next dive.
+def blocks_between(lengths: np.ndarray, window: int, surge: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(first, end) of the runs of lines between dives: those that surge, and the others.
 
-    The sum at a line covers it and the window - 1 lines after it. A surge is a line with text whose sum reaches `surge`;
-    the dive is the first line after it from which a whole window is empty, or the end.
+    The sum at a line covers it and the window - 1 lines after it. A dive is a line from which a whole window is empty; a
+    run goes from the first line with text after a dive to the last one before the next, and surges if a sum in it
+    reaches `surge`.
     """
-    padded = np.concatenate((lengths, np.zeros(window, dtype=np.int64)))
-    sums = np.convolve(padded, np.ones(window, dtype=np.int64))[window - 1 :]
-    runs, at = [], 0
-    while at < len(lengths):
-        if lengths[at] and sums[at] >= surge:
-            end = at
-            while sums[end]:
-                end += 1
-            runs.append((at, end))
-            at = end
-        at += 1
-    return runs
+    padded = np.concatenate((np.zeros(1, dtype=np.int64), lengths, np.zeros(window, dtype=np.int64)))
+    sums = np.lib.stride_tricks.sliding_window_view(padded, window).sum(axis=1)  # at place i: that of line i - 1
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], (sums > 0).astype(np.int8), [0]))))
+    high, low = [], []
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        full = np.flatnonzero(padded[a : b + window - 1])
+        run = (a + int(full[0]) - 1, a + int(full[-1]))
+        (high if sums[a:b].max() >= surge else low).append(run)
+    return high, low
 
 
 def main_text(html: str | None, window: int = 3, surge: int = 86) -> str:
     """The article of a page, a line for each block.
 
-    Lines of boilerplate count as empty, as do lines that are mostly links if the page marks no article, and the edges of an article element are windows of empty lines, so sums fall to
-    zero there. Where the page marks an article, runs are sought inside it and need no height. Elsewhere a run must
-    surge to `surge` characters within `window` lines; if none does, the tallest window decides. Of several runs, those
-    of at least a third of the longest are kept. Null, empty or text-free pages give the empty string.
+    Lines of boilerplate are left out before lengths are summed, so an advert does not cut an article. Where the page has
+    an article or main element, only its lines count. Elsewhere a line that is mostly links has no length, so menus are
+    dives; what stands between dives is kept if it surges to `surge` characters within `window` lines, or if one of its
+    lines stands in the same container as a line of such a run. If nothing surges, the tallest window does. Nothing
+    between a surge and its dives is dropped. Null, empty or text-free pages give the empty string.
     """
-    lines = text_lines(html or "")
-    marked = any(x.inside and not x.boilerplate for x in lines)
-    texts: list[str] = []
-    for before, x in zip([None, *lines], lines, strict=False):
-        if before and before.inside != x.inside:
-            texts += [""] * window
-        menu = not marked and 2 * x.linked > len(x.text)
-        texts.append("" if x.boilerplate or menu or marked and not x.inside else x.text)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    lines = [x for x in text_lines(html or "") if not x.boilerplate]
+    if marked := any(x.inside for x in lines):
+        lines = [x for x in lines if x.inside]
+    lengths = np.array([0 if not marked and 2 * x.linked > len(x.text) else len(x.text) for x in lines], dtype=np.int64)
     if not lengths.any():
         return ""
-    runs = blocks_between(lengths, window, 1 if marked else surge)
-    if not runs:
-        sums = np.convolve(lengths, np.ones(window, dtype=np.int64))[window - 1 :]
-        runs = blocks_between(lengths, window, int(sums.max()) if len(sums) else 1) or blocks_between(lengths, window, 1)
-    sizes = [lengths[a:b].sum() for a, b in runs]
-    kept = [r for r, n in zip(runs, sizes, strict=True) if marked or 3 * n >= max(sizes)]
-    return "\n".join(t for a, b in kept for t in texts[a:b] if t)
+    high, low = blocks_between(lengths, window, surge)
+    if not high:
+        sums = np.convolve(lengths, np.ones(window, dtype=np.int64))
+        high, low = blocks_between(lengths, window, int(sums.max()))
+    homes = {lines[i].container for a, b in high for i in range(a, b)} - {0}
+    kept = high + [(a, b) for a, b in low if any(lines[i].container in homes for i in range(a, b))]
+    return "\n".join(lines[i].text for a, b in sorted(kept) for i in range(a, b))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], window: int, surge: int) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cellwise.llm import queries
 from cellwise.llm.components import smallest_reachable
-from cellwise.llm.html_text import extract_pages, main_text
+from cellwise.llm.html_text import blocks_between, extract_pages, main_text
 from cellwise.llm.media import area_resize, decode, difference_hash, encode_bmp, encode_pgm, image_tiles, media_features, text_media
 from cellwise.llm.simhash import GrayIndex, block_masks, gray_rank, near_duplicates, one_of_each
 from cellwise.llm.substring_dedup import remove_repeats
@@ -42,6 +42,11 @@ LONG = "A paragraph of an article, which is long enough to make a surge of text
         (f"<article><p>{LONG}</p><section class='reader-comments'><p>First!</p></section><form>name</form></article>", LONG),
         (f"<div class='page has-sidebar ad-free'><p>{LONG}</p><div class='sidebar-content'>x</div><div id='site-footer'>y</div></div>", LONG),
         (f"<article><p>{LONG} a < b &copy; &#8364; &bogus;</p><style>p{{}}</style></article", f"{LONG} a < b © € &bogus;"),
+        (f"<article><p>{LONG}</p><h2 id='related-work'>Related work</h2><section id='social-science'><p>Some.</p></section><h2 id=share>Share</h2></article>", f"{LONG}\nRelated work\nSome.\nShare"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div class='ad'><p>Buy</p><p>this</p><p>now</p></div><p>{LONG}</p></div>", "\n".join([LONG] * 5)),
+        (f"<div><h2>Head</h2><p>{LONG}</p><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul><p>The end.</p></div><ul><li><a href=/>Home</a></ul>", f"Head\n{LONG}\nThe end."),
+        (f"<p title=\"the hidden class='ad' thing\">{LONG}</p><p hidden>No</p><p>it's <a href=it's>fine</a></p>", f"{LONG}\nit's fine"),
+        (f"<p>{LONG}</p><div class='related-posts'><p>Other</p></div><div class='page-footer'>f</div><p id=footer>f</p>", LONG),
     ],
 )
 def test_main_text(html, expected):
@@ -59,6 +64,78 @@ def test_pages(spark, data_dir):
         assert (got[p["page_id"]]["text"], got[p["page_id"]]["n_chars"], got[p["page_id"]]["url"]) == (expected, len(expected), p["url"])
 
 
+def unmarked(r):
+    """A page without article or main, and its text as it was put together: menus and notices around blocks of several kinds."""
+    sentence = lambda n: " ".join(("word", "text", "line", "long", "page")[x] for x in r.integers(0, 5, n)).capitalize() + "."
+    menu = lambda n: "<ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(n)) + "</ul>"
+    truth, body = [], []
+
+    def block(text, tag):
+        truth.append(" ".join(text.split()))
+        body.append(f"<{tag}>{text}</{tag}>")
+
+    if r.random() < 0.7:
+        block(sentence(4), "h1")
+    for k in range(r.integers(2, 9)):
+        block(sentence(r.integers(25, 90)), "p")
+        kind = r.integers(0, 8)
+        if kind == 0:
+            body.append("<div class='ad'><p>Buy</p><p>one</p><p>now</p></div>")
+        elif kind == 1:
+            block(sentence(2), "h2")
+        elif kind == 2:
+            body.append("<ul>")
+            for _ in range(r.integers(2, 5)):
+                block(sentence(6), "li")
+            body.append("</ul>")
+        elif kind == 3:
+            block(f"<a href='/x'>{sentence(3)}</a>", "p")
+            truth[-1] = re.sub("<[^>]*>", "", truth[-1])
+        elif kind == 4:
+            block(sentence(5), "blockquote")
+        elif kind == 5:
+            body.append(menu(4))
+    block(sentence(r.integers(25, 60)) if body[-1].startswith("<ul><li><a") else sentence(3), "p")
+    inner = "".join(body)
+    around = r.integers(0, 3)
+    page = (f"<div id='content'>{inner}</div>", f"<div><div class='layout has-sidebar'>{inner}</div><div class='sidebar'><p>{sentence(40)}</p></div></div>", f"<table><tr><td>{menu(5)}</td><td>{inner}</td></tr></table>")[around]
+    return f"<html><body><div class='nav-bar'>{menu(6)}</div>{menu(5)}{page}{menu(3)}<div id='footer'>© 2024 Some One</div><div class='cookie-notice'><p>{sentence(30)}</p></div></body></html>", "\n".join(truth)
+
+
+def test_pages_without_article():
+    r = np.random.default_rng(11)
+    for _ in range(60):
+        html, truth = unmarked(r)
+        assert main_text(html) == truth
+
+
+def test_runs_against_brute_force():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        n = r.integers(1, 30)
+        lengths = r.integers(1, 60, n) * (r.random(n) < 0.5)
+        runs, now = [], []
+        for i in range(n):
+            if lengths[i]:
+                now.append(i)
+            elif now and not any(lengths[i : i + 3]):
+                runs.append(now)
+                now = []
+        runs += [now] if now else []
+        reach = lambda run: max(sum(lengths[max(i, 0) : i + 3]) for i in range(run[0] - 2, run[-1] + 1))
+        high, low = blocks_between(lengths.astype(np.int64), 3, 60)
+        assert sorted(high + low) == [(x[0], x[-1] + 1) for x in runs]
+        assert high == [(x[0], x[-1] + 1) for x in runs if reach(x) >= 60]
+
+
+def test_unclosed_elements_are_read_in_one_pass():
+    import time
+
+    began = time.process_time()
+    assert main_text("<b>" * 8000 + "<div>" * 8000 + "text") == "text"
+    assert time.process_time() - began < 1
+
+
 def test_page_edges(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2), (2, "u", "<p>" * 5000 + "x" + "<div" * 2000, 3), (3, "u", "<p>&amp;" * 30000, 4)], "page_id long, url string, html string, text int")
     assert [r["n_chars"] for r in extract_pages(pages).orderBy(F.col("page_id").asc_nulls_first()).collect()] == [0, 0, 0, 1, 59999]
