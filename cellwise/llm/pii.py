@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import durable
+from cellwise.llm.common import broadcast_if_small, durable
 
 # Shapes of personal data, and names for surrogates by gender and script.
 TITLE = r"(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Se\x{F1}or|Se\x{F1}ora|Sr|Sra|Dr|Prof|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{434}\x{438}\x{43D}|\x{413}\x{43E}\x{441}\x{43F}\x{43E}\x{436}\x{430})"
 ADDRESS = r"(?:" + TITLE + r"\.? )++"
+#: What hex digits after one of these words are: a digest, no secret.
+DIGEST = r"(?<!(?i:commit|revision|rev|sha|sha-?1|sha-?256|sha-?512|md5|hash|digest|checksum|etag|blob|tree|parent)[ \t:=#\"'(]{0,4})"
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|" + DIGEST + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
-    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "card": r"(?<![0-9\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
+    "ip": r"(?<![0-9A-Za-z.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?!\.?[0-9])",
+    "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
+    "card": r"(?<![0-9\-])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![0-9])",
     "person": r"(?<![\p{L}\p{N}])" + ADDRESS + r"\p{Lu}[\p{L}'\-]++(?: \p{Lu}[\p{L}'\-]++)?+",
 }
@@ -52,6 +58,42 @@ def kind_of(surface: Column) -> Column:
     return case
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chars(text: Column) -> Column:
+    return F.split(text, "")
+
+
+def luhn_sum(digits: Column) -> Column:
+    """The sum of the digits, of which every second one from the right is doubled and cast out of nines; a valid card's ends in 0."""
+
+    def add(total: Column, at: Column) -> Column:
+        twice = F.substring(digits, at, F.lit(1)).cast("int") * F.when((F.length(digits) - at) % 2 == 1, 2).otherwise(1)
+        return total + F.floor(twice / 10).cast("int") + twice % 10
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
+
+
+def mod_97(signs: Column) -> Column:
+    """The number that digits, and letters as 10 to 35, make when written one after the other, modulo 97."""
+
+    def add(rest: Column, c: Column) -> Column:
+        code = F.ascii(F.upper(c))
+        return F.when(code < 65, (rest * 10 + code - 48) % 97).otherwise((rest * 100 + code - 55) % 97)
+
+    return F.aggregate(_chars(signs), F.lit(0), add)
+
+
+def checked(kind: Column, surface: Column) -> Column:
+    """Whether the check digits of a card or IBAN fit; other kinds have none."""
+    signs = F.regexp_replace(surface, "[^0-9A-Za-z]", "")
+    iban = F.concat(F.substring(signs, 5, 64), F.substring(signs, 1, 4))
+    return F.when(kind == "card", luhn_sum(signs) % 10 == 0).when(kind == "iban", mod_97(iban) == 1).otherwise(True)
+
+
 def names_of(surface: Column) -> Column:
     """A person's names without the form of address and the genitive."""
     return F.regexp_replace(F.regexp_replace(surface, "^" + ADDRESS, ""), "'s$", "")
@@ -102,17 +144,19 @@ def surrogate(df: DataFrame, key: str, attempt: int) -> DataFrame:
     """Adds `surrogate` to (kind, entity): of the same shape, from the keyed stream of this attempt.
 
     Letters become letters of their case and script (Latin, Cyrillic, Greek), digits digits, the rest stays. An e-mail
-    keeps its last label, an IBAN its country, an international number its first digit; octets stay octets of as many
-    digits. Persons get names of their gender and script, with a second family name from the third attempt on.
+    keeps its last label, an IBAN its country, a card and an international number their first digit; check digits of
+    cards and IBANs fit, social security numbers have no part of zeros; octets stay octets of as many digits. Persons get
+    names of their gender and script, with a second family name from the third attempt on.
     """
     v = f"CAST(conv(substr(stream, 1 + {DIGITS} * (i % {SERVES}), {DIGITS}), 16, 10) AS INT)"
     hexed = f"CASE WHEN kind = 'key' AND entity RLIKE '^[0-9a-fA-F]+$' THEN true ELSE false END"
     keep = "CASE kind WHEN 'email' THEN length(entity) - length(substring_index(entity, '.', -1)) ELSE 1000000 END"
-    start = "CASE kind WHEN 'iban' THEN 2 WHEN 'phone' THEN 1 ELSE 0 END"
+    start = "CASE kind WHEN 'iban' THEN 4 WHEN 'phone' THEN 1 WHEN 'card' THEN 1 ELSE 0 END"
     chars = f"""array_join(transform(split(entity, ''), (c, i) -> CASE
         WHEN i >= {keep} OR i < {start} THEN c
         WHEN {hexed} AND c RLIKE '[a-f]' THEN substr('abcdef', 1 + {v} % 6, 1)
         WHEN {hexed} AND c RLIKE '[A-F]' THEN substr('ABCDEF', 1 + {v} % 6, 1)
+        WHEN kind = 'ssn' AND i IN (0, 3, 5) THEN CAST(1 + {v} % 5 AS STRING)
         WHEN c RLIKE '[0-9]' THEN CAST({v} % 10 AS STRING)
         WHEN c RLIKE '[a-z]' THEN substr('abcdefghijklmnopqrstuvwxyz', 1 + {v} % 26, 1)
         WHEN c RLIKE '[A-Z]' THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 1 + {v} % 26, 1)
@@ -128,7 +172,21 @@ def surrogate(df: DataFrame, key: str, attempt: int) -> DataFrame:
             persons += f" WHEN entity {test} AND entity LIKE '{gender}:%' THEN CASE WHEN entity LIKE '% %' THEN {_pick('stream', 0, GIVEN[script, gender])} || ' ' ELSE '' END || {family}"
     persons += " END"
     streamed = df.withColumn("stream", _stream(key, F.col("kind"), F.col("entity"), attempt))
-    return streamed.withColumn("surrogate", F.expr(f"CASE kind WHEN 'ip' THEN {octets} WHEN 'person' THEN {persons} ELSE {chars} END")).drop("stream")
+    made = streamed.withColumn("surrogate", F.expr(f"CASE kind WHEN 'ip' THEN {octets} WHEN 'person' THEN {persons} ELSE {chars} END")).drop("stream")
+    drawn = F.col("surrogate")
+    front = F.expr("substr(surrogate, 1, length(surrogate) - 1)")
+    card = F.concat(front, ((10 - luhn_sum(F.concat(front, F.lit("0"))) % 10) % 10).cast("string"))
+    country, rest = F.substring(drawn, 1, 2), F.substring(drawn, 5, 64)
+    iban = F.concat(country, F.lpad((98 - mod_97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
+    return made.withColumn("surrogate", F.when(F.col("kind") == "card", card).when(F.col("kind") == "iban", iban).otherwise(drawn))
+
+
+def sealed(df: DataFrame, key: str) -> DataFrame:
+    """durable(df), with its text columns encrypted in the checkpoint folder: what they hold are the personal data."""
+    secret = F.unhex(F.lit(hashlib.sha256(f"at rest:{key}".encode()).hexdigest()))
+    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    kept = durable(df.select(*(F.aes_encrypt(c, secret).alias(c) if c in texts else F.col(c) for c in df.columns)))
+    return kept.select(*(F.aes_decrypt(c, secret).cast("string").alias(c) if c in texts else F.col(c) for c in df.columns))
 
 
 def distinct_surrogates(entities: DataFrame, key: str, tries: int = 12) -> DataFrame:
@@ -137,7 +195,7 @@ def distinct_surrogates(entities: DataFrame, key: str, tries: int = 12) -> DataF
     What collides tries again with the next attempt's stream; the smallest entity of those that collide keeps its own.
     After `tries`, which only a shape with fewer values than entities needs, the surrogate gets its entity's digest.
     """
-    pending, done = durable(entities), None
+    pending, done = sealed(entities, key), None
     originals = pending.select(F.col("kind").alias("k"), F.when(F.col("kind") == "person", F.substring_index("entity", ":", -1)).otherwise(F.col("entity")).alias("o"))
     for attempt in range(tries):
         tried = surrogate(pending, key, attempt)
@@ -146,13 +204,13 @@ def distinct_surrogates(entities: DataFrame, key: str, tries: int = 12) -> DataF
             taken = done.select(F.col("kind").alias("k"), F.col("surrogate").alias("s"))
             free = free.join(taken, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("s")), "left_anti")
         settled = free.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")).select("kind", "entity", "surrogate")
-        done = durable(settled if done is None else done.unionByName(settled))
+        done = sealed(settled if done is None else done.unionByName(settled), key)
         rest = pending.join(done.select(F.col("kind").alias("k"), F.col("entity").alias("e")), (F.col("kind") == F.col("k")) & (F.col("entity") == F.col("e")), "left_anti")
-        pending = durable(rest)
+        pending = sealed(rest, key)
         if pending.isEmpty():
             return done
     last = surrogate(pending, key, tries).withColumn("surrogate", F.concat("surrogate", F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key), "entity").cast("binary"), 256), 1, 20)))
-    return durable(done.unionByName(last.select("kind", "entity", "surrogate")))
+    return sealed(done.unionByName(last.select("kind", "entity", "surrogate")), key)
 
 
 def rendered(kind: Column, surface: Column, replacement: Column) -> Column:
@@ -172,37 +230,60 @@ def rendered(kind: Column, surface: Column, replacement: Column) -> Column:
     return F.when(kind == "person", person).when(kind.isin("ip", "key"), replacement).when(kind == "email", F.when(surface.rlike(r"\p{Lu}"), F.upper(replacement)).otherwise(replacement)).otherwise(filled)
 
 
+def _titled(found: Column) -> Column:
+    """The mentions of a text that are persons with a form of address."""
+    return F.filter(found, lambda m: m.rlike(f"^(?:{PATTERNS['person']})$"))
+
+
+def _pattern(titled: Column) -> Column:
+    """What is sought in a text with these titled mentions: they may come again without their titles."""
+    return F.when(F.size(titled) > 0, F.concat(F.lit(ANY + "|"), repeats(titled))).otherwise(F.lit(ANY))
+
+
+def _matches(text: Column, pattern: Column) -> Column:
+    return F.regexp_extract_all(text, F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1))
+
+
 def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text", count: str | None = None, tries: int = 12) -> DataFrame:
     """docs with surrogates in place of the personal data in `text`; all other columns and texts stay as they are.
 
     An entity has one surrogate in all documents, by the key; different entities have different ones, none of which is
-    an entity of the corpus. Of a person named with a form of address, the names without one are mentions too, in full or
-    the family name, and short mentions are the same entity as the full one in their text. count: a column to add with the number of mentions replaced. Null and empty texts have
-    none; rows with null or repeated ids are rows like any other. Only texts with mentions are shuffled; an entity that a third of
-    them name is one row of the table of entities, and its join splits.
+    an entity of the corpus. Numbers whose check digits do not fit are no cards or IBANs. Of a person named with a form of
+    address, the names without one are mentions too, in full or the family name, and short mentions are the same entity as
+    the full one in their text. count: a column to add with the number of mentions replaced. Null and empty texts have
+    none; rows with null or repeated ids are rows like any other; an empty table gives no rows; columns may have any names.
+
+    All texts are searched once; texts with mentions, told by their digest, are searched again when they are rewritten.
+    The table of what to put is held by every task if it is small, else texts are shuffled by their digest. A mention that
+    a third of the texts hold is one row of the table of entities, and its join splits. What is kept on the way is encrypted.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    has = body.rlike(HINT) & body.rlike(ANY)
-    added = [count] if count else []
-    columns = [*docs.columns, *added]
-    untouched = docs.where(~has)
-    untouched = untouched.withColumn(count, F.lit(0).cast("long")) if count else untouched
-    touched = docs.where(has).withColumn("_first", F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).withColumn("_key", F.sha2(F.col(text).cast("binary"), 256))
-    touched = touched.withColumn("_titled", F.filter("_first", lambda s: s.rlike(f"^(?:{PATTERNS['person']})$")))
-    named = F.size("_titled") > 0
-    touched = touched.withColumn("_pattern", F.when(named, F.concat(F.lit(ANY + "|"), repeats(F.col("_titled")))).otherwise(F.lit(ANY)))
-    touched = touched.withColumn("_found", F.when(named, F.regexp_extract_all(text, F.concat(F.lit("("), "_pattern", F.lit(")")), F.lit(1))).otherwise(F.col("_first")))
-
-    mentions = touched.select("_key", "_titled", F.explode(F.array_distinct("_found")).alias("surface")).dropDuplicates(["_key", "surface"])
-    kinds = mentions.withColumn("kind", kind_of(F.col("surface"))).withColumn("own", canonical(F.col("kind"), F.col("surface")))
-    persons = F.transform("_titled", lambda s: canonical(F.lit("person"), s))
+    body = F.col(text)
+    digest = F.sha2(body.cast("binary"), 256)
+    first = F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(f"({ANY})"), F.lit(1)))
+    touched = docs.select(digest.alias("k"), body.alias("t"), first.alias("first")).where(F.size("first") > 0).dropDuplicates(["k"])
+    titled = touched.select("k", "t", "first", _titled(F.col("first")).alias("titled"))
+    found = titled.select("k", "titled", F.when(F.size("titled") > 0, _matches(F.col("t"), _pattern(F.col("titled")))).otherwise(F.col("first")).alias("found"))
+    mentions = found.select("k", "titled", F.explode(F.array_distinct("found")).alias("surface"))
+    kinds = mentions.withColumn("kind", kind_of(F.col("surface"))).where(checked(F.col("kind"), F.col("surface"))).withColumn("own", canonical(F.col("kind"), F.col("surface")))
+    persons = F.transform("titled", lambda m: canonical(F.lit("person"), m))
     entity = F.when(F.col("kind") == "person", same_person(F.col("own"), persons)).otherwise(F.col("own"))
-    typed = durable(kinds.select("_key", "surface", "kind", entity.alias("entity")))
-    entities = distinct_surrogates(typed.select("kind", "entity").distinct(), key, tries).withColumnsRenamed({"kind": "k", "entity": "e"})
-    resolved = typed.join(entities, (F.col("kind") == F.col("k")) & (F.col("entity") == F.col("e"))).select("_key", "surface", rendered(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("put"))
-    maps = resolved.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("surface", "put"))).alias("_map")).withColumnRenamed("_key", "_map_key")
-    joined = touched.join(maps, F.col("_key") == F.col("_map_key")).withColumn("_between", F.split(F.col(text), F.col("_pattern"), -1))
-    rebuilt = F.expr("array_join(transform(_between, (s, i) -> CASE WHEN i < size(_found) THEN concat(s, _map[_found[i]]) ELSE s END), '')")
-    replaced = joined.withColumn(text, rebuilt)
-    replaced = replaced.withColumn(count, F.size("_found").cast("long")) if count else replaced
-    return untouched.select(columns).unionByName(replaced.select(columns))
+    typed = sealed(kinds.select("k", "surface", "kind", entity.alias("entity")), key)
+    entities = distinct_surrogates(typed.select("kind", "entity").distinct(), key, tries).withColumnsRenamed({"kind": "_kind", "entity": "_entity"})
+    resolved = typed.join(entities, (F.col("kind") == F.col("_kind")) & (F.col("entity") == F.col("_entity"))).select("k", "surface", rendered(F.col("kind"), F.col("surface"), F.col("surrogate")).alias("put"))
+    maps = resolved.groupBy(F.col("k").alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("surface", "put"))).alias("put"))
+
+    whole = docs.select(F.struct("*").alias("row"), body.alias("t"), digest.alias("k"))  # names of docs' columns clash with none of ours
+    joined = whole.join(broadcast_if_small(maps, typed.count()), F.col("k") == F.col("_k"), "left")
+    t, put = F.col("t"), F.col("put")
+
+    def rewritten(pattern: Column) -> Column:
+        def put_in(surfaces: Column) -> Column:
+            pieces = F.transform(F.split(t, pattern, -1), lambda s, i: F.when(i < F.size(surfaces), F.concat(s, F.coalesce(put[F.get(surfaces, i)], F.get(surfaces, i)))).otherwise(s))
+            return F.struct(F.array_join(pieces, "").alias("text"), F.size(F.filter(surfaces, lambda m: put[m].isNotNull())).cast("long").alias("n"))
+
+        return _let(_matches(t, pattern), put_in)
+
+    again = _let(F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)), lambda f: _let(_pattern(_titled(f)), rewritten))
+    done = joined.select("row", F.when(put.isNull(), F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(again).alias("done"))
+    columns = [F.col("done.text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return done.select(*columns, *([F.col("done.n").alias(count)] if count else []))

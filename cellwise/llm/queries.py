@@ -20,10 +20,15 @@ from cellwise.llm.simhash import near_duplicates
 from cellwise.llm.substring_dedup import remove_repeats
 
 
-#: Surrogates are as secret as this key; a production run sets its own.
+#: For tests; surrogates are as secret as their key.
 PII_KEY = "surrogates-of-the-queries"
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The session's spark.cellwise.pii.key, which a production run sets."""
+    return spark.conf.get("spark.cellwise.pii.key", PII_KEY)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -59,7 +64,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents", "doc_id", "text"), PII_KEY, count="n_replaced").select("doc_id", "n_replaced", "text")
+    return replace_pii(table(spark, sf_dir, "documents", "doc_id", "text"), pii_key(spark), count="n_replaced").select("doc_id", "n_replaced", "text")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

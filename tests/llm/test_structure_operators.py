@@ -394,7 +394,7 @@ def test_repeat_edges(spark, edges, none):
 
 def test_pipeline(spark, data_dir):
     import corpus_pipeline as pipeline
-    from test_text_operators import FOUND, words_of
+    from test_text_operators import detected, words_of
 
     docs = spark.read.parquet(f"{data_dir}/documents.parquet")
     items = [(r["item_id"], words_of(r["text"])) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]
@@ -415,6 +415,6 @@ def test_pipeline(spark, data_dir):
     assert all(sum(d in single for d in ids) <= 1 for ids in same.values())
     hit = {d for d, r in single.items() for w in [words_of(r["text"])] for n in {len(g) for g in grams} if any(tuple(w[i : i + n]) in grams for i in range(len(w) - n + 1))}
     assert set(clean) == set(single) - hit
-    assert set(private) == set(clean) and not any(set(FOUND.findall(r["text"] or "")) & set(FOUND.findall(clean[d]["text"] or "")) for d, r in private.items())
+    assert set(private) == set(clean) and not any(detected(r["text"]) & detected(clean[d]["text"]) for d, r in private.items())
     assert all(r["n_chars"] == len(r["text"] or "") for r in private.values()) and set(packed) == set(private)
     assert pipeline.run(spark, data_dir).count() == seen[-1].count()
