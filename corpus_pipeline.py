@@ -12,7 +12,7 @@ from cellwise.llm.decontamination import without_contaminated
 from cellwise.llm.packing import pack
 from cellwise.llm.pii import replace_pii
 from cellwise.llm.quality import accepted
-from cellwise.llm.queries import PII_KEY, tokenizer_path
+from cellwise.llm.queries import pii_key, tokenizer_path
 from cellwise.llm.simhash import one_of_each
 
 
@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become surrogates; n_chars follows the text."""
-    replaced = replace_pii(docs, PII_KEY)
+    replaced = replace_pii(docs, pii_key(spark))
     return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
