@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellwise.llm import queries
+from cellwise.llm import licenses, queries
 from cellwise.llm.decontamination import overlap_report, without_contaminated, without_spans
 from cellwise.llm.licenses import scan_licenses
 from cellwise.llm.packing import BestFit, Encoder, cut, pack
@@ -211,12 +212,120 @@ APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
 
 
+AS_IS = """
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment would be appreciated.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def brute_sentences(text):
+    """Known sentences by walking over characters and words: no regular expressions, no tables but the sentences."""
+    known = {s: name for name, every in licenses.SENTENCES.items() for s in every}
+    lines = []
+    for line in (text or "").translate(A_TO_Z).split("\n"):
+        body = line.lstrip("".join(chr(c) for c in range(128) if not chr(c).isalnum()))
+        for word in ("dnl", "rem"):
+            if body.startswith(word) and not (body[3:4].isalnum() or body[3:4] == "_"):
+                body = body[3:]
+        item = body.lstrip("".join(chr(c) for c in range(128) if not chr(c).isalnum()))
+        mark = next((k for k in range(1, 5) if item[k : k + 1] in (".", ")") and item[k + 1 : k + 2] in (" ", "\t") and item[k + 1 : k + 2]), None)
+        if mark and (item[:mark].isdigit() and mark <= 2 or len(item[:mark]) == 1 and item[:mark].isalpha() or 2 <= mark <= 4 and set(item[:mark]) <= set("ivx")):
+            body = item[mark + 1 :]
+        lines.append(body)
+    parts, now = [[]], []
+    for k, line in enumerate(lines):
+        if k and not any(c.isascii() and c.isalnum() for c in line) and k < len(lines) - 1:
+            parts[-1].append(now)
+            parts.append([])
+            now = []
+            continue
+        word = ""
+        for at, c in enumerate(line + "\n"):
+            if c.isascii() and c.isalnum():
+                word += c
+                continue
+            now += [word] if word else []
+            word = ""
+            ends = at + 1 >= len(line) or line[at + 1] in " \t\r\f\v"
+            if c in ".!?" and ends and (at + 1 < len(line) or k + 1 < len(lines)):
+                parts[-1].append(now)
+                parts.append([])
+                now = []
+            elif c in ";:" and ends or c == "\n":
+                parts[-1].append(now)
+                now = []
+    parts[-1].append(now)
+    found = []
+    for part in parts:
+        pieces, at = [p for p in part if p], 0
+        while at < len(pieces):
+            hit = next((b for b in range(len(pieces), at, -1) if " ".join(w for p in pieces[at:b] for w in p) in known), None)
+            if hit:
+                found.append(known[" ".join(w for p in pieces[at:hit] for w in p)])
+            at = hit or at + 1
+    return found
+
+
+def brute_rules(found):
+    rules, licences, state = [], [], [[x] for x in found]
+    for licence, rule, ids in licenses.RULES:
+        n, hit, at = len(ids), False, 0
+        while at + n <= len(state):
+            if [x for part in state[at : at + n] for x in part] == list(ids) and all(state[at : at + n]):
+                state[at : at + n] = [[]]
+                hit = True
+            at += 1
+        if hit:
+            rules.append(rule)
+            licences.append(licence)
+    return ",".join(rules), ",".join(sorted(set(licences)))
+
+
+def licence_texts():
+    r = np.random.default_rng(8)
+    blocks = [MIT, BSD, BSD + ENDORSE, GPL % (";", 2), GPL % (":", 3), APACHE, AS_IS, ISC, ZLIB, LGPL, MPL, "Released under the MIT License.", "All rights reserved.", "Some prose about a license; and software: more.", "Licensed under the\nApache License,\nVersion 2.0", "a) This program is free software"]
+    texts = []
+    for d in range(150):
+        chosen = [blocks[i] for i in r.integers(0, len(blocks), r.integers(1, 5))]
+        text = ["\n\n", "\n", " "][r.integers(3)].join(chosen)
+        if r.random() < 0.6:
+            text = "\n".join(("# ", "// ", "")[d % 3] + x for line in text.split("\n") for x in (textwrap.wrap(line, int(r.integers(30, 90))) or [""]))
+        texts.append((d, text))
+    return texts
+
+
+def test_licences_against_brute_force_and_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    texts = licence_texts()
+    got = sorted(map(tuple, scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()))
+    expected = []
+    for d, t in texts:
+        found = brute_sentences(t)
+        expected.append((d, len(found), ",".join(found), *brute_rules(found)))
+    assert got == expected
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [d for d, _ in texts], "text": [t for _, t in texts]}))
+    assert sorted(con.execute(licenses.scan_sql()).fetchall()) == got
+
+
 @pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", "dnl "])
 @pytest.mark.parametrize("width", [72, 40])
 def test_wrapped_licences(spark, prefix, width):
-    import textwrap
 
-    cases = [(MIT, "mit-full,mit-title"), (BSD, "bsd-2,all-rights"), (BSD + ENDORSE, "bsd-3,all-rights"), (GPL.replace("Foundation;", "Foundation,") % (":", 3), "gpl-3-header"), (GPL % (";", 2), "gpl-2-header"), (APACHE, "apache-2-header"), (MIT.replace("\n\n", "\n"), "mit-full,mit-title")]
+    cases = [(MIT, "mit-full,mit-title"), (BSD, "bsd-2,all-rights"), (BSD + ENDORSE, "bsd-3,all-rights"), (GPL.replace("Foundation;", "Foundation,") % (":", 3), "gpl-3-header"), (GPL % (";", 2), "gpl-2-header"), (APACHE, "apache-2-header"), (MIT + AS_IS, "mit-text,mit-title"), (ISC, "isc-text"), (ZLIB, "zlib-text"), (LGPL, "lgpl-2-1-header"), (MPL, "mpl-2-header"), ("SPDX-License-Identifier: (none)\nSPDX-License-Identifier: Apache-2.0", "spdx-apache-2-0-line"), (MIT.replace("\n\n", "\n"), "mit-full,mit-title")]
     wrapped = ["\n".join(prefix + x for line in text.split("\n") for x in (textwrap.wrap(line, width) or [""])) for text, _ in cases]
     got = scan_licenses(spark.createDataFrame(list(enumerate(wrapped)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["rules"] for r in got} == dict(enumerate(rules for _, rules in cases))
