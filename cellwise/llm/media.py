@@ -138,6 +138,10 @@ def npy(pixels: np.ndarray) -> bytes:
     return buffer.getvalue()
 
 
+def read_npy(data: bytes | pa.Buffer) -> np.ndarray:
+    return np.load(io.BytesIO(data), allow_pickle=False)
+
+
 def payload_of(text: str | None) -> tuple[int, bytes]:
     """The bytes of a text, and the same with bytes 255 up to a positive multiple of a tile."""
     data = (text or "").encode()
@@ -145,20 +149,63 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(data), data.ljust(size, b"\xff")
 
 
+#: Tiles of one NPY array of a text's media: what a task holds beside the text itself.
+TILES_AT_ONCE = 1024
+
+
+def npy_tiles(pixels: np.ndarray) -> Iterator[bytes]:
+    """A grey image of whole tiles, TILE wide, as NPY arrays (tiles, rows, columns) of TILES_AT_ONCE tiles at most."""
+    tiles = pixels.reshape(-1, TILE, TILE)
+    for at in range(0, len(tiles), TILES_AT_ONCE):
+        yield npy(tiles[at : at + TILES_AT_ONCE])
+
+
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ("doc_id", "n_bytes", "media"), (pa.int64(), pa.int64(), pa.list_(pa.binary()))
     for batch in batches:
-        rows = [(i, *payload_of(t.as_py())) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-        media = [encode_pgm(np.frombuffer(p, dtype=np.uint8).reshape(-1, TILE)) for _, _, p in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        rows, held = [], 0
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            n, payload = payload_of(text.as_py())
+            image = decode(encode_pgm(np.frombuffer(payload, dtype=np.uint8).reshape(-1, TILE)))
+            rows.append((i, n, list(npy_tiles(grey(image)))))
+            held += len(payload)
+            if held > 1 << 24:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media) of each row: the text's padded bytes as the samples of a PGM image, 24 to a row.
+    """(doc_id, n_bytes, media) of each row: the text's padded bytes as a PGM image, 24 samples to a row, decoded and written as NPY tiles.
 
-    A null text is empty and so one tile of 255; repeated rows, null ids and texts of any length are treated alike.
+    A null text is empty and so one tile of 255; repeated rows, null ids and texts of any length are treated alike; an
+    empty table gives no rows; other columns are not carried.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(lambda b: _stored(b), "doc_id long, n_bytes long, media binary")
+    return slim.mapInArrow(lambda b: _stored(b), "doc_id long, n_bytes long, media array<binary>")
+
+
+class Bands:
+    """The difference hash of an image that comes block by block: sums of its columns in eight bands of rows."""
+
+    def __init__(self, rows: int, columns: int):
+        self.rows, self.columns, self.seen = rows, columns, 0
+        self.sums = np.zeros((8, columns), dtype=np.int64)
+
+    def add(self, block: np.ndarray) -> None:
+        """Rows must be a multiple of eight in all, so that bands have whole rows."""
+        height = self.rows // 8
+        for band in range(self.seen // height, min(7, (self.seen + len(block) - 1) // height) + 1):
+            low, high = max(band * height - self.seen, 0), (band + 1) * height - self.seen
+            self.sums[band] += block[low:high].sum(axis=0, dtype=np.int64)
+        self.seen += len(block)
+
+    def hash(self) -> bytes:
+        integral = np.zeros((8, self.columns + 1), dtype=np.int64)
+        integral[:, 1:] = self.sums.cumsum(axis=1)
+        across = np.diff(_sums_to(integral, np.arange(10) * self.columns, 9), axis=1)
+        return np.packbits((across[:, :-1] < across[:, 1:]).reshape(64)).tobytes()
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -168,20 +215,32 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for doc_id, n_bytes, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            stored = media.as_py()
-            pixels = grey(decode(stored))
-            payload = pixels.tobytes()
-            tiles = difference_hash(pixels.reshape(-1, TILE, TILE)).tobytes()
-            feature = f"{difference_hash(pixels).tobytes().hex()}-{hashlib.sha256(tiles).hexdigest()[:16]}"
-            out.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+            payload, stored, tiles = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+            parts = [part.as_buffer() for part in media.values]
+            # All arrays but the last have TILES_AT_ONCE tiles.
+            last = read_npy(parts[-1])
+            n_tiles = (len(parts) - 1) * TILES_AT_ONCE + len(last)
+            bands, size = Bands(n_tiles * TILE, TILE), 0
+            for k, part in enumerate(parts):
+                block = last if k == len(parts) - 1 else read_npy(part)
+                stored.update(part)
+                data = block.tobytes()
+                payload.update(data)
+                tiles.update(difference_hash(block).tobytes())
+                bands.add(block.reshape(-1, TILE))
+                size += part.size
+            feature = f"{bands.hash().hex()}-{tiles.hexdigest()[:16]}"
+            out.append((doc_id, n_bytes, n_tiles * UNIT, payload.hexdigest(), zlib.crc32(data[-32:]), size, stored.hexdigest(), feature))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in FEATURES.split(", ")])
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of stored 8-bit images (doc_id, n_bytes, media), all from the stored bytes.
+    """Digests and features of stored NPY tiles (doc_id, n_bytes, media), all from the stored bytes, a block at a time.
 
     feature: the difference hash of the whole image, then the first half of a SHA-256 over the hashes of its tiles.
+    media_bytes and media_sha256 are of the NPY arrays one after the other. Repeated rows and null ids stay; an empty
+    table gives no rows.
     """
     return media.mapInArrow(lambda b: _features(b), FEATURES)
 

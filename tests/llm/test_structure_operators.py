@@ -171,15 +171,31 @@ def test_area_means():
     assert difference_hash(np.tile(np.arange(24), (24, 1))).tobytes() == b"\xff" * 8
 
 
+def brute_hash(image):
+    """Whether each of 8 x 8 means is less than its right neighbour; means over the image blown up so that parts have whole pixels."""
+    fine = np.repeat(np.repeat(image.astype(np.int64), 8, axis=0), 9, axis=1)
+    sums = fine.reshape(8, len(fine) // 8, 9, fine.shape[1] // 9).sum(axis=(1, 3))
+    bits = "".join("1" if a < b else "0" for row in sums for a, b in zip(row, row[1:]))
+    return int(bits, 2).to_bytes(8, "big")
+
+
 def test_media(spark, edges, none):
-    got = sorted(map(tuple, media_features(text_media(edges)).collect()), key=repr)
+    rows = [*EDGES, (20, "".join(chr(33 + i * i % 90) for i in range(576 * 1024 + 700))), (21, "x" * 576), (22, "y" * 577)]
+    docs = edges.select("doc_id", "text").union(spark.createDataFrame(rows[len(EDGES) :], "doc_id long, text string"))
     expected = []
-    for doc_id, text in EDGES:
+    for doc_id, text in rows:
         data = (text or "").encode()
         payload = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
-        expected.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
-    assert [r[:5] for r in got] == sorted(expected, key=repr)
-    assert len({r[7] for r in got if r[0] in (0, 4)}) == 1
+        image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 24)
+        stored = b""
+        for at in range(0, len(payload), 576 * 1024):
+            buffer = io.BytesIO()
+            np.save(buffer, np.frombuffer(payload[at : at + 576 * 1024], dtype=np.uint8).reshape(-1, 24, 24))
+            stored += buffer.getvalue()
+        tiles = b"".join(brute_hash(image[y : y + 24]) for y in range(0, len(image), 24))
+        feature = f"{brute_hash(image).hex()}-{hashlib.sha256(tiles).hexdigest()[:16]}"
+        expected.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+    assert sorted(map(tuple, media_features(text_media(docs)).collect()), key=repr) == sorted(expected, key=repr)
     assert media_features(text_media(none)).count() == 0
 
 
