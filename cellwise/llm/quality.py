@@ -2,75 +2,112 @@
 
 from __future__ import annotations
 
+import operator
+import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import UPPER, broadcast_if_small, durable
+from cellwise.llm.common import broadcast_if_small, durable, fresh
 
 # Signs that prose uses rarely.
-SIGNS = "%$&*#|<>{}[]=~^\\_"
-
-
-def _share(text: Column, signs: str, size: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, signs, ""))) / size
-
-
-FEATURES = ("log_words", "signs", "pipes", "exclaims", "upper", "digits", "distinct", "repeated", "word_chars", "line_words")
-
-
-def features(docs: DataFrame, doc_id: str, text: str, host: str, path: str) -> DataFrame:
-    """id, site columns and the numbers that the classifier reads, each between 0 and about 3."""
-    slim = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    slim = slim.withColumn("w", F.array_remove(F.split("t", r"\s+"), "")).withColumn("n", F.greatest(F.length("t"), F.lit(1)).cast("double")).withColumn("nw", F.greatest(F.size("w"), F.lit(1)).cast("double"))
-    t, n, nw = F.col("t"), F.col("n"), F.col("nw")
-    values = {
-        "log_words": F.log10(nw + 1),
-        "signs": 3 * _share(t, SIGNS, n),
-        "pipes": 3 * _share(t, "|", n),
-        "exclaims": 3 * _share(t, "!", n),
-        "upper": 2 * _share(t, UPPER, n),
-        "digits": 3 * _share(t, "0123456789", n),
-        "distinct": F.size(F.array_distinct("w")) / nw,
-        "repeated": 3 * F.size(F.expr("filter(sequence(1, greatest(size(w) - 1, 1)), i -> i < size(w) AND w[i] = w[i - 1])")) / nw,
-        "word_chars": F.least(n / nw, F.lit(30.0)) / 10,
-        "line_words": F.log10(nw / (F.length(t) - F.length(F.translate(t, "\n", "")) + 1) + 1),
-    }
-    return slim.select("id", "host", "path", *(v.cast("double").alias(k) for k, v in values.items()))
+SIGNS = b"%$&*#|<>{}[]=~^\\_"
+UPPER = bytes(range(65, 91))
+DIGITS = bytes(range(48, 58))
+#: Numbers of a document's surface, and buckets that its words are hashed to.
+COUNTS = ("log_words", "signs", "pipes", "exclaims", "upper", "digits", "distinct", "repeated", "word_chars", "line_words")
+BUCKETS = 512
+#: Words without what is no letter or digit, so that signs stuck to words do not make new ones.
+PLAIN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+_BUCKET_OF: dict[bytes, int] = {}
+
+
+def _buckets(words: list[bytes]) -> np.ndarray:
+    """The bucket of each word; common words are remembered, until there are too many."""
+    try:
+        return np.fromiter(map(_BUCKET_OF.__getitem__, words), dtype=np.int64, count=len(words))
+    except KeyError:
+        if len(_BUCKET_OF) > 500_000:
+            _BUCKET_OF.clear()
+        found = [_BUCKET_OF[w] if w in _BUCKET_OF else zlib.crc32(w) % BUCKETS for w in words]
+        _BUCKET_OF.update((w, b) for w, b in zip(words, found, strict=True) if len(w) < 64)
+        return np.array(found, dtype=np.int64)
+
+
+def features(text: str | None) -> np.ndarray:
+    """What the classifier reads of a whole text: COUNTS, each between 0 and about 3, and the square roots of the buckets' shares of words."""
+    t = (text or "").encode()
+    words = t.split()
+    n, nw = max(1, len(text or "")), max(1, len(words))
+    share = lambda signs: (len(t) - len(t.translate(None, signs))) / n
+    out = np.zeros(len(COUNTS) + BUCKETS, dtype=np.float32)
+    repeated = sum(map(operator.eq, words, words[1:]))
+    out[: len(COUNTS)] = (
+        np.log10(nw + 1), 3 * share(SIGNS), 3 * share(b"|"), 3 * share(b"!"), 2 * share(UPPER), 3 * share(DIGITS), len(set(words)) / nw, 3 * repeated / nw, min(n / nw, 30.0) / 10, np.log10(nw / (t.count(b"\n") + 1) + 1),
+    )
+    plain = PLAIN.sub(b" ", t.lower()).split()
+    if plain:
+        out[len(COUNTS) :] = np.sqrt(np.bincount(_buckets(plain), minlength=BUCKETS) / len(plain))
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
     """Weights on standardised features; bias last."""
 
-    weights: tuple[float, ...]
-    means: tuple[float, ...]
-    scales: tuple[float, ...]
+    weights: np.ndarray
+    means: np.ndarray
+    scales: np.ndarray
 
-    def logit(self) -> Column:
-        total = F.lit(self.weights[-1])
-        for name, w, m, s in zip(FEATURES, self.weights, self.means, self.scales, strict=False):
-            total = total + F.lit(w) * F.least(F.greatest((F.col(name) - F.lit(m)) / F.lit(s), F.lit(-4.0)), F.lit(4.0))
-        return F.least(F.greatest(total, F.lit(-12.0)), F.lit(12.0))
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - self.means) / self.scales, -4, 4)
+        return np.clip(z @ self.weights[:-1] + self.weights[-1], -12, 12)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> Model:
-    """Logistic regression by Newton steps with a ridge; without both classes, all weights are zero."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, word_ridge: float = 100.0, rounds: int = 30) -> Model:
+    """Logistic regression by Newton steps, with a stronger ridge for words than for counts; without both classes, all weights are zero."""
+    k = len(COUNTS) + BUCKETS
     if len(set(y.tolist())) < 2:
-        return Model((0.0,) * (len(FEATURES) + 1), (0.0,) * len(FEATURES), (1.0,) * len(FEATURES))
+        return Model(np.zeros(k + 1), np.zeros(k), np.ones(k))
+    x = x.astype(np.float64)
     means, scales = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = np.c_[np.clip((x - means) / scales, -4, 4), np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    penalty = ridge * np.diag(np.r_[np.ones(len(FEATURES)), 1e-6])
+    w = np.zeros(k + 1)
+    penalty = np.r_[np.full(len(COUNTS), ridge), np.full(BUCKETS, word_ridge), 1e-6]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
-    return Model(tuple(w.tolist()), tuple(means.tolist()), tuple(scales.tolist()))
+    return Model(w, means, scales)
+
+
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["labelled", "y", "x"])
+
+
+def _logit_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            x = np.array([features(t.as_py()) for t in part.column(4)]).astype(np.float16).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(np.round(model.logits(x), 9))], names=["id", "k", "host", "path", "logit"])
+
+
+def with_sites(docs: DataFrame, url: str = "url", host: str = "host", path: str = "path") -> DataFrame:
+    """Adds the site of each row's address: the host without "www." in lower case, and the first part of the path; empty if there is none."""
+    at = F.coalesce(F.col(url), F.lit(""))
+    found = F.regexp_extract(at, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    return docs.withColumns({host: F.regexp_replace(F.lower(found), r"^www\.", ""), path: F.regexp_extract(at, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//[^/?#]*/([^/?#]*)", 1)})
 
 
 def _logit(p: Column) -> Column:
@@ -87,28 +124,24 @@ def _strength(sites: DataFrame, mean: float) -> float:
     return min(max(noise / between - 1, 1.0), 1000.0)
 
 
-def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", sample: int = 20_000, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
-    """doc_id, p_document, p_host, p_path, quality and keep of each row of docs.
+def _key(doc_id: str, text: str) -> Column:
+    """Rows that agree in id and text share it, and so their fate."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
 
-    p_document: logistic regression on counts over the whole text, fitted on at most `sample` labelled rows (the first
-    ones by a hash of the id). p_host: the mean of p_document over the host's rows, shrunk toward the mean of all.
-    p_path: that of the host and path, without the row itself, shrunk toward p_host. How strongly is estimated from the
-    spread between sites. quality: p_document's log odds plus `site_weight` times how far p_path's differ from those of
-    all rows. An id labelled twice counts by its larger label. keep: quality of `threshold` at least.
 
-    Sites are aggregated before the shuffle, so a host with any share of the rows is a row for each task. A null text is
-    empty; a null host or path is a site named by the empty string; null and repeated ids are rows like any other. Without labels of
-    both classes p_document is 0.5 for all. An empty table gives no rows. Other columns are not carried.
-    """
-    read = durable(features(docs, doc_id, text, host, path))
-    chosen = labels.select(F.col("doc_id").alias("labelled"), F.col(label).alias("y")).where("labelled IS NOT NULL AND y IS NOT NULL").groupBy("labelled").agg(F.max("y").alias("y"))
+def _judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, host: str, path: str, label: str, label_id: str, sample: int, site_weight: float, threshold: float) -> DataFrame:
+    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    slim = docs.select(F.col(doc_id).alias("id"), _key(doc_id, text).alias("k"), site(host).alias("host"), site(path).alias("path"), F.col(text).alias("t"))
+    chosen = labels.select(F.col(label_id).alias("labelled"), F.col(label).cast("double").alias("y")).where("labelled IS NOT NULL AND y IS NOT NULL").groupBy("labelled").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
-    rows = read.join(F.broadcast(chosen), F.col("id") == F.col("labelled")).select(*FEATURES, "y").dropDuplicates().limit(sample).collect()  # `sample` rows at most
-    data = np.array(rows, dtype=float).reshape(-1, len(FEATURES) + 1)
-    data = data[np.lexsort(data.T)]
-    model = fit(data[:, :-1], (data[:, -1] > 0).astype(float))
-    scored = read.select("id", "host", "path", model.logit().alias("logit")).withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
-
+    texts = slim.join(F.broadcast(chosen), F.col("id") == F.col("labelled"))  # `sample` rows at most
+    one = texts.select("labelled", "y", "t").mapInArrow(_feature_batches, f"labelled {slim.schema['id'].dataType.simpleString()}, y double, x binary").groupBy("labelled").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    rows = sorted(((r["labelled"], r["y"], bytes(r["x"])) for r in one.collect()), key=lambda r: repr(r[0]))  # `sample` rows of a KB
+    x = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.float16).reshape(-1, len(COUNTS) + BUCKETS)
+    model = fit(x, np.array([float(r[1] > 0) for r in rows]))
+
+    schema = f"id {slim.schema['id'].dataType.simpleString()}, k binary, host string, path string, logit double"
+    scored = durable(slim.mapInArrow(lambda b: _logit_batches(b, model), schema).withColumn("p", 1 / (1 + F.exp(-F.col("logit")))))
     paths = durable(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     whole = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("k")).first()
@@ -120,13 +153,32 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     p_path = (F.lit(by_path) * F.col("p_host") + F.col("s") - F.col("p")) / (F.lit(by_path) + F.col("n") - 1)
     bounded = F.least(F.greatest(p_path, F.lit(1e-3)), F.lit(1 - 1e-3))
     quality = 1 / (1 + F.exp(-(F.col("logit") + F.lit(site_weight) * (_logit(bounded) - F.lit(float(np.log(overall / (1 - overall))))))))
-    out = joined.select(F.col("id").alias("doc_id"), F.round("p", 6).alias("p_document"), F.round("p_host", 6).alias("p_host"), F.round(bounded, 6).alias("p_path"), F.round(quality, 6).alias("quality"))
+    out = joined.select("id", "k", F.round("p", 6).alias("p_document"), F.round("p_host", 6).alias("p_host"), F.round(bounded, 6).alias("p_path"), F.round(quality, 6).alias("quality"))
     return out.withColumn("keep", F.col("quality") >= F.lit(threshold))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that score() keeps, with all their columns. A row is told by its id: rows of one id share a
-    fate, which is to go only if all of them are rejected; rows with a null id stay."""
-    verdict = score(docs, labels, doc_id=doc_id, **options).groupBy("doc_id").agg(F.max("keep").alias("keep"))
-    rejected = verdict.where("NOT keep").select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, F.col(doc_id) == F.col("_rejected"), "left_anti")
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", label_id: str = "doc_id", sample: int = 20_000, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
+    """doc_id, p_document, p_host, p_path, quality and keep of each row of docs.
+
+    p_document: logistic regression on counts and hashed words of the whole text, fitted on at most `sample` labelled rows
+    (the first ones by a hash of the id). p_host: the mean of p_document over the host's rows, shrunk toward the mean of
+    all. p_path: that of the host and path, without the row itself, shrunk toward p_host. How strongly is estimated from
+    the spread between sites. quality: p_document's log odds plus `site_weight` times how far p_path's differ from those
+    of all rows. An id labelled twice counts by its larger label. keep: quality of `threshold` at least. Where rows have an
+    address, with_sites() gives their host and path.
+
+    Sites are aggregated before the shuffle, so a host with any share of the rows is a row for each task. A null text is
+    empty; a null host or path is a site named by the empty string; null and repeated ids are rows like any other. Without labels of
+    both classes p_document is 0.5 for all. An empty table gives no rows. Other columns are not carried.
+    """
+    judged = _judged(docs, labels, doc_id, text, host, path, label, label_id, sample, site_weight, threshold)
+    return judged.select(F.col("id").alias("doc_id"), "p_document", "p_host", "p_path", "quality", "keep")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", label_id: str = "doc_id", sample: int = 20_000, site_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score() keeps, with all their columns. Every row is judged by itself, whatever its id; rows
+    that agree in id, text, host and path share their fate. Rows with null ids or texts are judged too."""
+    judged = _judged(docs, labels, doc_id, text, host, path, label, label_id, sample, site_weight, threshold)
+    rejected = durable(judged.groupBy(F.col("k").alias("_k")).agg(F.max("keep").alias("keep")).where("NOT keep").select("_k"))
+    (k,) = fresh(docs.columns, "_row_key")
+    return docs.withColumn(k, _key(doc_id, text)).join(broadcast_if_small(rejected.withColumnRenamed("_k", f"{k}_"), rejected.count()), F.col(k) == F.col(f"{k}_"), "left_anti").select(docs.columns)

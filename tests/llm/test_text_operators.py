@@ -359,6 +359,58 @@ def test_quality_edges(spark, edges, none):
     assert score(bare, labels).count() == len(EDGES)
 
 
+def test_posteriors_in_numpy(spark, data_dir):
+    """p_host, p_path and quality computed again from p_document, site by site."""
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    got = score(docs, spark.read.parquet(f"{data_dir}/labels.parquet")).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    p = np.array([r["p_document"] for r in got])
+    host, path = [r["source"] or "" for r in got], [(r["source"] or "", r["lang"] or "") for r in got]
+    overall = p.mean()
+
+    def strength(keys):
+        sites = defaultdict(list)
+        for k, x in zip(keys, p, strict=True):
+            sites[k].append(x)
+        big = [np.array(v) for v in sites.values() if len(v) > 1]
+        spread, inverse = np.mean([(v.mean() - overall) ** 2 for v in big]), np.mean([1 / len(v) for v in big])
+        noise = overall * (1 - overall)
+        return {k: (len(v), sum(v)) for k, v in sites.items()}, min(max(noise / max(spread - noise * inverse, noise / 1000) - 1, 1), 1000)
+
+    (hosts, by_host), (paths, by_path) = strength(host), strength(path)
+    for r, x, h, q in zip(got, p, host, path, strict=True):
+        p_host = (by_host * overall + hosts[h][1]) / (by_host + hosts[h][0])
+        p_path = min(max((by_path * p_host + paths[q][1] - x) / (by_path + paths[q][0] - 1), 1e-3), 1 - 1e-3)
+        odds = np.log(max(x, 1e-9) / max(1 - x, 1e-9)) + 0.5 * (np.log(p_path / (1 - p_path)) - np.log(overall / (1 - overall)))
+        assert abs(r["p_host"] - p_host) < 1e-3 and abs(r["p_path"] - p_path) < 1e-3 and abs(r["quality"] - 1 / (1 + np.exp(-odds))) < 1e-3
+        assert r["keep"] == (r["quality"] >= 0.5)
+
+
+def test_clean_documents_stay(spark, data_dir):
+    folder = data_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"] for r in accepted(docs, labels).select("doc_id").collect()}
+    good = [r["doc_id"] for r in labels.where("quality = 1").collect()]
+    assert np.mean([d in kept for d in good]) > 0.99
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    good, bad = "A plain line of prose that says a thing or two.", "buy | now | %%% | $$$ | cheap | %%%"
+    data = [(i, good if i % 2 else bad, "en", "h", 1) for i in range(60)] + [(1, bad, "en", "h", 2), (None, bad, "en", "h", 3), (None, good, "en", "h", 4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, _row_key int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2, 40)], "doc_id long, quality int")
+    kept = accepted(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted((r for r in data if r[1] == good), key=repr)
+
+
+def test_sites_of_addresses(spark):
+    from cellwise.llm.quality import with_sites
+
+    urls = ["https://www.Example.com/news/a?b", "http://user@a.b.org:80/x", "//c.net", "ftp://d.e", None, "", "no address"]
+    got = with_sites(spark.createDataFrame(list(enumerate(urls)), "id int, url string")).orderBy("id").collect()
+    assert [(r["host"], r["path"]) for r in got] == [("example.com", "news"), ("a.b.org", "x"), ("c.net", ""), ("d.e", ""), ("", ""), ("", ""), ("", "")]
+
+
 def test_sites_shrink(spark):
     good, bad = "A plain line of prose that says a thing or two.", "buy | now | %%% | $$$ | cheap | %%%"
     data = [(i, good if i % 2 else bad, "en", f"h{i % 2}" if i < 40 else f"rare{i}") for i in range(60)]
