@@ -49,6 +49,11 @@ def broadcast_if_small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= bound else df
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """16 bytes that rows share which agree in id and text; a null text counts as empty, a null id as one of its own."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+
+
 def unsigned_crc32(data: Column) -> Column:
     """CRC-32 as an unsigned long."""
     return F.crc32(data).cast("long")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import broadcast_if_small, durable, fresh
+from cellwise.llm.common import broadcast_if_small, durable, fresh, row_key
 
 # Signs that prose uses rarely.
 SIGNS = b"%$&*#|<>{}[]=~^\\_"
@@ -124,14 +124,9 @@ def _strength(sites: DataFrame, mean: float) -> float:
     return min(max(noise / between - 1, 1.0), 1000.0)
 
 
-def _key(doc_id: str, text: str) -> Column:
-    """Rows that agree in id and text share it, and so their fate."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
-
-
 def _judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, host: str, path: str, label: str, label_id: str, sample: int, site_weight: float, threshold: float) -> DataFrame:
     site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    slim = docs.select(F.col(doc_id).alias("id"), _key(doc_id, text).alias("k"), site(host).alias("host"), site(path).alias("path"), F.col(text).alias("t"))
+    slim = docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("k"), site(host).alias("host"), site(path).alias("path"), F.col(text).alias("t"))
     chosen = labels.select(F.col(label_id).alias("labelled"), F.col(label).cast("double").alias("y")).where("labelled IS NOT NULL AND y IS NOT NULL").groupBy("labelled").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     texts = slim.join(F.broadcast(chosen), F.col("id") == F.col("labelled"))  # `sample` rows at most
@@ -181,4 +176,4 @@ def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     judged = _judged(docs, labels, doc_id, text, host, path, label, label_id, sample, site_weight, threshold)
     rejected = durable(judged.groupBy(F.col("k").alias("_k")).agg(F.max("keep").alias("keep")).where("NOT keep").select("_k"))
     (k,) = fresh(docs.columns, "_row_key")
-    return docs.withColumn(k, _key(doc_id, text)).join(broadcast_if_small(rejected.withColumnRenamed("_k", f"{k}_"), rejected.count()), F.col(k) == F.col(f"{k}_"), "left_anti").select(docs.columns)
+    return docs.withColumn(k, row_key(doc_id, text)).join(broadcast_if_small(rejected.withColumnRenamed("_k", f"{k}_"), rejected.count()), F.col(k) == F.col(f"{k}_"), "left_anti").select(docs.columns)

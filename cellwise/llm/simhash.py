@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import broadcast_if_small, durable
+from cellwise.llm.common import broadcast_if_small, durable, row_key
 from cellwise.llm.components import smallest_reachable
 
 SEED = 42
@@ -415,8 +415,8 @@ def verified(candidates: DataFrame, texts: DataFrame, shingle: int, similarity:
     told = durable(met.select("node", "component", "shingles", "n", "mine", near.alias("near")))
 
     rest = told.where("NOT near")
-    many = blocks(rest, "u")
-    each = told.join(many, F.col("component") == F.col("_component"), "left").select("node", "component", "shingles", "n", "mine", "near", F.coalesce("u", F.lit(1)).alias("u"))
+    open_ = durable(rest.groupBy(F.col("component").alias("_component")).agg(F.ceil(F.sum(F.size("shingles")) / F.lit(block)).cast("int").alias("u")))
+    each = told.join(broadcast_if_small(open_, open_.count()), F.col("component") == F.col("_component")).select("node", "component", "shingles", "n", "mine", "near", "u")
     held = each.select("node", "component", "shingles", F.lit(False).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("i"), F.col("mine").alias("j"))
     seek = each.where("NOT near").select("node", "component", "shingles", F.lit(True).alias("seeks"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("u")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     found = held.unionByName(seek).groupBy("component", "i", "j").applyInArrow(lambda t: _similar(t, similarity), "a long, b long")
@@ -449,7 +449,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_
     smallest id stays, a null id last; of different texts under it the one with the smallest digest, of rows that agree
     in both one. All texts without words (null, empty, white space) are copies of each other.
     """
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))
+    key = row_key(doc_id, text)
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("k"), F.col(text).alias("text"))
     prints = durable(slim.mapInArrow(lambda b: _print_batches(b, shingle), "id long, k binary, words binary, bits binary"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k")

@@ -115,20 +115,20 @@ def brute_overlaps(texts, items):
     for item, text in items:
         w = words_of(text)
         for i in range(max(1, len(w) - 9) if w else 0):
-            grams[tuple(w[i : i + 10])].add(str(item))
+            grams[tuple(w[i : i + 10])] |= {str(item)} - {"None"}
     out = []
     for doc_id, text in texts:
         w, hit, found = words_of(text), set(), set()
         for n in {len(g) for g in grams}:
             for i in range(len(w) - n + 1):
-                if at := grams.get(tuple(w[i : i + n])):
+                if tuple(w[i : i + n]) in grams:
                     hit |= set(range(i, i + n))
-                    found |= at
+                    found |= grams[tuple(w[i : i + n])]
         out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
 
-ITEMS = [(10, "the quick BROWN fox; jumps over the lazy dog and then it rests"), (2, "tie"), (3, ""), (4, None), (5, "word " * 12), (6, "some words in it"), (7, "漢字 😀")]
+ITEMS = [(10, "the quick BROWN fox; jumps over the lazy dog and then it rests"), (2, "tie"), (3, ""), (4, None), (5, "word " * 12), (6, "some words in it"), (7, "漢字 😀"), (None, "lazy dog")]
 
 
 @pytest.mark.parametrize("bound", [200_000, 0])
@@ -150,6 +150,15 @@ def test_removal(spark, edges):
     assert spans[1] is None and spans[2] == "" and spans[8] == ""
 
 
+def test_removal_by_row_and_any_names(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(1, "see the tie", 1, "a", 2, 3), (1, "nothing of it", 1, "b", 2, 3), (None, "no words here", 1, "c", 2, 3), (None, "tie", 1, "d", 2, 3), (None, "tie", 1, "d", 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hit int, _key string, w int, row int")
+    assert sorted(map(tuple, without_contaminated(docs, items).collect()), key=repr) == sorted(rows[1:3], key=repr)
+    spans = without_spans(docs, items)
+    assert spans.columns == docs.columns and sorted(r["text"] for r in spans.collect()) == ["", "", "no words here", "nothing of it", "see the "]
+
+
 # Sharding.
 
 
