@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.functions.quantise import quantise_u8, rescale
+from cellwise.functions.quantise import limits, rescale, unnormalise_to
 
 #: The numbers that masks carry for the ways to make them.
 ALGORITHMS = {"full": 0, "stochastic": 1, "stratified": 2, "systematic": 3}
@@ -23,11 +23,12 @@ def union_of(masks: Mapping[str, DataFrame]) -> DataFrame:
 def blend(masks: DataFrame, features: DataFrame, value: str = "value", norm: str = "norm") -> DataFrame:
     """Sum over regions of weight times feature, for each algorithm, cell and channel.
 
-    masks: (algorithm, x, y, region, importance, norm); features: (region, x, y, channel, value), whole numbers, whose
-    sums are exact; they are divided once. An equi-join on the cell and region, then sums that start before the shuffle.
+    masks: (algorithm, x, y, region, importance, norm); features: (region, x, y, channel, value). Sums of whole numbers
+    and decimals are exact, those of fractions are doubles; they are divided once. An equi-join on the cell and region,
+    then sums that start before the shuffle.
     """
     joined = masks.join(features, ["x", "y", "region"])
-    sums = joined.groupBy("algorithm", "x", "y", "channel", norm).agg(F.sum(F.col("importance") * F.col(value)).cast("long").alias("_sum"))
+    sums = joined.groupBy("algorithm", "x", "y", "channel", norm).agg(F.sum(F.col("importance") * F.col(value)).alias("_sum"))
     return sums.select("algorithm", "x", "y", "channel", (F.col("_sum").cast("double") / F.col(norm).cast("double")).alias("value"))
 
 
@@ -37,6 +38,7 @@ def stretched(blended: DataFrame) -> DataFrame:
     return blended.join(F.broadcast(ends)).withColumn("value", rescale(F.col("value"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
-def quantised(blended: DataFrame) -> DataFrame:
-    """Stretched values as codes 0 .. 255."""
-    return stretched(blended).withColumn("value", quantise_u8(F.col("value")))
+def quantised(blended: DataFrame, kind: str = "u8", stretch: bool = True) -> DataFrame:
+    """Values as numbers of an integer type, stretched over all of it unless they are in 0 .. 1 already. The type for features
+    of several types is promoted() of theirs."""
+    return (stretched(blended) if stretch else blended).withColumn("value", unnormalise_to(F.col("value"), kind).cast("int" if limits(kind)[1] < 1 << 31 else "long"))

@@ -14,10 +14,15 @@ def increments(deltas: DataFrame, keys: list[str], amount: str) -> DataFrame:
     return deltas.groupBy(*keys, "region").agg(F.sum(amount).cast("long").alias("importance"))
 
 
-def apply_deltas(deltas: DataFrame, keys: list[str], op: str, amount: str) -> DataFrame:
-    """Sums of signed amounts (op 'inc' or 'dec'); regions that end at zero or below have no row."""
+def signed_sums(deltas: DataFrame, keys: list[str], op: str, amount: str) -> DataFrame:
+    """Sums of amounts that op 'inc' adds and 'dec' takes away."""
     signed = F.when(F.col(op) == "inc", F.col(amount)).otherwise(-F.col(amount))
-    return deltas.groupBy(*keys, "region").agg(F.sum(signed).cast("long").alias("importance")).where("importance > 0")
+    return deltas.groupBy(*keys, "region").agg(F.sum(signed).cast("long").alias("importance"))
+
+
+def apply_deltas(deltas: DataFrame, keys: list[str], op: str, amount: str) -> DataFrame:
+    """Signed sums; regions that end at zero or below have no row."""
+    return signed_sums(deltas, keys, op, amount).where("importance > 0")
 
 
 def dense(weights: DataFrame, region_count: int, value: str = "importance", fill=0) -> DataFrame:

@@ -64,19 +64,28 @@ def one_hot(field: DataFrame, region_count: int) -> DataFrame:
 
 
 def full_prefix(field: DataFrame, meta: RegionfieldMeta, window: Window, radius: int) -> DataFrame:
-    """Separable running sums in SQL windows: along y, then along x."""
-    hot = one_hot(field.where(within(window, radius)), meta.region_count)
+    """Separable running sums in SQL windows: along y, then along x. They count rows, so a grid with holes is an error."""
+    near = field.where(within(window, radius))
+    cells = (window.extent[0] + 2 * radius) * (window.extent[1] + 2 * radius)
+    if (have := near.count()) != cells:
+        raise ValueError(f"{have} cells where {cells} are needed: running sums take no holes, scatter and tile do")
+    hot = one_hot(near, meta.region_count)
     rows = box_1d(hot, "y", radius, window.offset[1], window.last[1])
     both = box_1d(rows, "x", radius, window.offset[0], window.last[0])
     return both.where("n > 0").select("x", "y", "region", F.col("n").alias("importance"))
 
 
-def full_tile(field: DataFrame, meta: RegionfieldMeta, window: Window, radius: int, tile: int | None = None) -> DataFrame:
-    """Square tiles with a rim of r cells, each summed by integral images: one shuffle, memory by the tile's size.
+def tile_size(window: Window, radius: int, cores: int) -> int:
+    """The width of tiles: eight radii, so that rims add a small part, but less where that leaves cores without a tile.
 
-    A tile is at least eight radii wide, so that rims add a small part of the cells.
+    Not under two radii, at which a tile and its rim have four times the tile's cells.
     """
-    size = tile or max(128, 8 * radius)
+    fair = int((window.extent[0] * window.extent[1] / max(1, cores)) ** 0.5) + 1
+    return max(32, 2 * radius, min(max(128, 8 * radius), fair))
+
+
+def in_tiles(field: DataFrame, window: Window, radius: int, size: int) -> DataFrame:
+    """(x, y, region, tx, ty): each cell in every tile whose centres see it."""
     (ox, oy), (lx, ly) = window.offset, window.last
 
     def tiles(axis: str, low: int, high: int) -> Column:
@@ -84,7 +93,13 @@ def full_tile(field: DataFrame, meta: RegionfieldMeta, window: Window, radius: i
         return F.sequence(of(F.greatest(F.col(axis) - radius, F.lit(low))), of(F.least(F.col(axis) + radius, F.lit(high))))
 
     near = field.where(within(window, radius))
-    dealt = near.select("x", "y", "region", F.explode(tiles("x", ox, lx)).alias("tx")).select("x", "y", "region", "tx", F.explode(tiles("y", oy, ly)).alias("ty"))
+    return near.select("x", "y", "region", F.explode(tiles("x", ox, lx)).alias("tx")).select("x", "y", "region", "tx", F.explode(tiles("y", oy, ly)).alias("ty"))
+
+
+def full_tile(field: DataFrame, meta: RegionfieldMeta, window: Window, radius: int, tile: int | None = None) -> DataFrame:
+    """Square tiles with a rim of r cells, each summed by integral images: one shuffle, memory by the tile's size."""
+    size = tile or tile_size(window, radius, field.sparkSession.sparkContext.defaultParallelism)
+    (ox, oy), (lx, ly) = window.offset, window.last
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = ox + int(pdf["tx"].iloc[0]) * size, oy + int(pdf["ty"].iloc[0]) * size
@@ -100,7 +115,7 @@ def full_tile(field: DataFrame, meta: RegionfieldMeta, window: Window, radius: i
             out.append(pd.DataFrame({"x": (i + x0).astype("int32"), "y": (j + y0).astype("int32"), "region": np.int32(region), "importance": box[i, j].astype("int64")}))
         return pd.concat(out, ignore_index=True)
 
-    return dealt.groupBy("tx", "ty").applyInPandas(sums, "x int, y int, region int, importance long")
+    return in_tiles(field, window, radius, size).groupBy("tx", "ty").applyInPandas(sums, "x int, y int, region int, importance long")
 
 
 STRATEGIES = {"scatter": full_scatter, "prefix": full_prefix, "tile": full_tile}

@@ -28,11 +28,15 @@ def extent(field: DataFrame) -> DataFrame:
     return field.agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.count("*").alias("cells"))
 
 
-def equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: whether two grids have the same cells; counted by one grouping, not by two set differences."""
+def equal(a: DataFrame, b: DataFrame, regions: tuple[int, int] | None = None) -> DataFrame:
+    """One row: whether two grids have the same cells, each as often, and the same number of regions, if both are given.
+
+    Counted by one grouping, not by two set differences.
+    """
+    same = F.lit(regions is None or regions[0] == regions[1])
     sides = a.select("x", "y", "region", F.lit(1).alias("n")).unionByName(b.select("x", "y", "region", F.lit(-1).alias("n")))
     differ = sides.groupBy("x", "y", "region").agg(F.sum("n").alias("n")).where("n <> 0")
-    return differ.agg((F.count("*") == 0).alias("equal"))
+    return differ.agg(((F.count("*") == 0) & same).alias("equal"))
 
 
 def tile_spine(spark: SparkSession, meta: RegionfieldMeta, tile: tuple[int, int]) -> DataFrame:

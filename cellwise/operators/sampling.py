@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.functions.rng import hash_u32, uniform_between, uniform_int
-from cellwise.operators.occupancy import diametre, scatter, within
+from cellwise.operators.occupancy import diametre, in_tiles, scatter, tile_size, within
 from cellwise.schema import RegionfieldMeta, Window
 
 TAG = "splat"
@@ -26,14 +28,35 @@ def systematic(field: DataFrame, meta: RegionfieldMeta, window: Window, radius:
     return scatter(field, window, steps_x, steps_y), len(steps_x) * len(steps_y)
 
 
-def _at_samples(field: DataFrame, window: Window, radius: int, samples: DataFrame) -> DataFrame:
-    """Counts of the regions at (sx, sy) of each centre (x, y): an equi-join on the cell."""
-    cells = field.where(within(window, radius)).select(F.col("x").alias("sx"), F.col("y").alias("sy"), "region")
-    return samples.join(cells, ["sx", "sy"]).groupBy("x", "y", "region").agg(F.count("*").alias("importance"))
+def _at_samples(field: DataFrame, window: Window, radius: int, steps: Column) -> DataFrame:
+    """Counts of the regions at some places of each centre's neighbourhood.
 
-
-def _centres(field: DataFrame, window: Window) -> DataFrame:
-    return field.where(within(window)).select("x", "y")
+    steps: for a centre, an array of places, numbered x outer from the neighbourhood's first cell. Cells go to tiles with
+    a rim, a centre's places with its cell, so there is one shuffle of cells, whatever the number of samples; regions are
+    looked up in the tile's grid.
+    """
+    size, d = tile_size(window, radius, field.sparkSession.sparkContext.defaultParallelism), diametre(radius)
+    (ox, oy), (lx, ly) = window.offset, window.last
+    tile = lambda axis, low: F.floor((F.col(axis) - F.lit(low)) / F.lit(size)).cast("int")
+    own = within(window) & (F.col("tx") == tile("x", ox)) & (F.col("ty") == tile("y", oy))
+    dealt = in_tiles(field, window, radius, size).withColumn("steps", F.when(own, steps))
+
+    def counts(table: pa.Table) -> pa.Table:
+        x, y, region, tx, ty = (table.column(c).to_numpy() for c in ("x", "y", "region", "tx", "ty"))
+        x0, y0 = ox + int(tx[0]) * size - radius, oy + int(ty[0]) * size - radius
+        grid = np.full((min(size + 2 * radius, lx + radius - x0 + 1), min(size + 2 * radius, ly + radius - y0 + 1)), -1, dtype=np.int32)
+        grid[x - x0, y - y0] = region
+        at = table.column("steps").combine_chunks()
+        centre = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        places = at.drop_null()
+        each = np.repeat(centre, places.value_lengths().to_numpy())
+        step = places.flatten().to_numpy()
+        seen = grid[x[each] - x0 - radius + step // d, y[each] - y0 - radius + step % d]
+        most = int(region.max()) + 1
+        key, n = np.unique(each[seen >= 0] * most + seen[seen >= 0], return_counts=True)
+        return pa.table({"x": x[key // most], "y": y[key // most], "region": (key % most).astype(np.int32), "importance": n.astype(np.int64)})
+
+    return dealt.groupBy("tx", "ty").applyInArrow(counts, "x int, y int, region int, importance long")
 
 
 def stratified(field: DataFrame, meta: RegionfieldMeta, window: Window, radius: int, strata: int = 1, seed: int = 0) -> tuple[DataFrame, int]:
@@ -48,13 +71,12 @@ def stratified(field: DataFrame, meta: RegionfieldMeta, window: Window, radius:
     bounds = [(i * d // strata, max(1, (i + 1) * d // strata - i * d // strata)) for i in range(strata)]
     x0, y0 = F.col("x") - radius, F.col("y") - radius
 
-    def place(origin, axis: int, i: int, j: int):
+    def place(axis: int, i: int, j: int) -> Column:
         begin, width = bounds[(i, j)[axis]]
-        return origin + F.least(uniform_between(hash_u32(seed, f"{TAG}:stratified", x0, y0, i, j, axis), begin, width), F.lit(d - 1))
+        return F.least(uniform_between(hash_u32(seed, f"{TAG}:stratified", x0, y0, i, j, axis), begin, width), F.lit(d - 1))
 
-    parts = F.explode(F.array(*(F.struct(place(x0, 0, i, j).alias("sx"), place(y0, 1, i, j).alias("sy")) for i in range(strata) for j in range(strata)))).alias("s")
-    samples = _centres(field, window).select("x", "y", parts).select("x", "y", "s.sx", "s.sy")
-    return _at_samples(field, window, radius, samples), strata * strata
+    steps = F.array(*(place(0, i, j) * d + place(1, i, j) for i in range(strata) for j in range(strata)))
+    return _at_samples(field, window, radius, steps), strata * strata
 
 
 def stochastic(field: DataFrame, meta: RegionfieldMeta, window: Window, radius: int, samples: int = 1, seed: int = 0) -> tuple[DataFrame, int]:
@@ -63,6 +85,6 @@ def stochastic(field: DataFrame, meta: RegionfieldMeta, window: Window, radius:
         raise ValueError(f"{samples} samples")
     d = diametre(radius)
     x0, y0 = F.col("x") - radius, F.col("y") - radius
-    draws = _centres(field, window).select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
-    place = lambda origin, axis: (origin + uniform_int(hash_u32(seed, f"{TAG}:stochastic", x0, y0, F.col("k"), axis), d)).cast("int")
-    return _at_samples(field, window, radius, draws.select("x", "y", place(x0, 0).alias("sx"), place(y0, 1).alias("sy"))), samples
+    place = lambda k, axis: uniform_int(hash_u32(seed, f"{TAG}:stochastic", x0, y0, k, axis), d)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda k: place(k, 0) * d + place(k, 1))
+    return _at_samples(field, window, radius, steps), samples

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.functions.arrays import linspace, normalise, pad_clamp, to_dense, to_sparse
 from cellwise.functions.bits import bit_pack, bit_unpack, minimum_bits_of
-from cellwise.functions.quantise import dequantise_u16, quantise_u8, quantise_u16, rescale
+from cellwise.functions.quantise import INTEGERS, dequantise_u16, limits, normalise_from, promoted, quantise_u8, quantise_u16, rescale, unnormalise_to
 from cellwise.functions.rng import hash_u32, hash_u32_sql, uniform_int
 from cellwise.operators import blend as blending
 from cellwise.operators import coefficients, generators, occupancy, raster
@@ -276,10 +277,29 @@ def extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.extent(rf(spark, sf_dir))
 
 
-@query(f"WITH {RF_SQL}, a AS (SELECT * FROM rf EXCEPT SELECT x, y, region FROM rf) SELECT count(*) = 0 AS equal FROM a")
+_EQUAL_SQL = "(SELECT count(*) = 0 FROM ((SELECT x, y, region, count(*) FROM rf GROUP BY ALL EXCEPT SELECT x, y, region, count(*) FROM {other} GROUP BY ALL) UNION ALL (SELECT x, y, region, count(*) FROM {other} GROUP BY ALL EXCEPT SELECT x, y, region, count(*) FROM rf GROUP BY ALL))) AND {regions}"
+
+
+@query(
+    f"""WITH {RF_SQL}, one AS (SELECT x, y, CAST(CASE WHEN x = 3 AND y = 7 THEN (region + 1) % {REGIONS} ELSE region END AS INTEGER) AS region FROM rf), twice AS (SELECT * FROM rf UNION ALL SELECT * FROM rf WHERE x = 0 AND y = 0),
+    less AS (SELECT * FROM rf WHERE NOT (x = 0 AND y = 0)), turned AS (SELECT y AS x, x AS y, region FROM rf)
+    SELECT 'same' AS pair, {_EQUAL_SQL.format(other="rf", regions="true")} AS equal UNION ALL SELECT 'one cell', {_EQUAL_SQL.format(other="one", regions="true")} UNION ALL SELECT 'a row twice', {_EQUAL_SQL.format(other="twice", regions="true")}
+    UNION ALL SELECT 'a row less', {_EQUAL_SQL.format(other="less", regions="true")} UNION ALL SELECT 'transposed', {_EQUAL_SQL.format(other="turned", regions="true")} UNION ALL SELECT 'region count', {_EQUAL_SQL.format(other="rf", regions="5 = 6")}"""
+)
 def regionfield_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that are equal, and that differ in one cell, a repeated or missing row, the axes or the number of regions."""
     field = rf(spark, sf_dir)
-    return raster.equal(field, raster.transpose(raster.transpose(field)))
+    first = (F.col("x") == 0) & (F.col("y") == 0)
+    pairs = {
+        "same": (raster.transpose(raster.transpose(field)), REGIONS),
+        "one cell": (field.withColumn("region", F.when((F.col("x") == 3) & (F.col("y") == 7), (F.col("region") + 1) % REGIONS).otherwise(F.col("region"))), REGIONS),
+        "a row twice": (field.unionByName(field.where(first)), REGIONS),
+        "a row less": (field.where(~first), REGIONS),
+        "transposed": (raster.transpose(field), REGIONS),
+        "region count": (field, REGIONS + 1),
+    }
+    found = [raster.equal(field, other, (REGIONS, n)).select(F.lit(name).alias("pair"), "equal") for name, (other, n) in pairs.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 # Kernels and shapes.
@@ -476,6 +496,42 @@ def masked_splat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blending.blend(_masks(spark, sf_dir), features(spark, sf_dir))
 
 
+#: Features in 0 .. 1, of 1024 steps: sums of such doubles are exact, whatever their order.
+SHARES_SQL = f"shares AS (SELECT CAST(event_id // {H} AS INTEGER) AS x, CAST(event_id % {H} AS INTEGER) AS y, CAST(r AS INTEGER) AS region, CAST(c AS INTEGER) AS channel, CAST((event_id * 37 + r * 101 + c * 11) % 1025 AS DOUBLE) / 1024 AS value FROM events, range({REGIONS}) t(r), range(3) u(c))"
+
+
+def share_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _events(spark, sf_dir).select("event_id", F.explode(F.sequence(F.lit(0), F.lit(REGIONS - 1))).alias("region")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("channel"))
+    n = F.col("event_id")
+    return cells.select(F.floor(n / H).cast("int").alias("x"), F.pmod(n, F.lit(H)).cast("int").alias("y"), "region", "channel", (F.pmod(n * 37 + F.col("region") * 101 + F.col("channel") * 11, F.lit(1025)).cast("double") / 1024).alias("value"))
+
+
+SHARED_SQL = f"{MASKS_SQL}, {SHARES_SQL}, blended AS (SELECT algorithm, x, y, channel, sum(importance * value) / CAST(norm AS DOUBLE) AS value FROM masks JOIN shares USING (x, y, region) GROUP BY algorithm, x, y, channel, norm)"
+
+
+@query(f"WITH {SHARED_SQL} SELECT * FROM blended")
+def masked_splat_fractional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blending.blend(_masks(spark, sf_dir), share_features(spark, sf_dir))
+
+
+@query(f"WITH {SHARED_SQL} SELECT algorithm, x, y, channel, CAST(round_even(value * CAST(65535 AS DOUBLE) + CAST(-32768 AS DOUBLE), 0) AS INTEGER) AS value FROM blended")
+def masked_quantise_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features in 0 .. 1 need no stretching; the type of the result is that of 8-bit signed and 16-bit features."""
+    return blending.quantised(masked_splat_fractional(spark, sf_dir), promoted("i8", "i16"), stretch=False)
+
+
+_KINDS = " UNION ALL ".join(f"SELECT x, y, region, '{k}' AS kind, CAST(round_even(CAST(importance AS DOUBLE) / CAST(25 AS DOUBLE) * CAST({limits(k)[1] - limits(k)[0]} AS DOUBLE) + CAST({limits(k)[0]} AS DOUBLE), 0) AS BIGINT) AS code FROM counted" for k in INTEGERS)
+_BACK = " ".join(f"WHEN '{k}' THEN (CAST(code AS DOUBLE) - CAST({limits(k)[0]} AS DOUBLE)) / CAST({limits(k)[1] - limits(k)[0]} AS DOUBLE)" for k in INTEGERS)
+
+
+@query(f"WITH {full_sql(2)}, coded AS ({_KINDS}) SELECT x, y, region, kind, code, CASE kind {_BACK} END AS value FROM coded")
+def integer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights as numbers of each integer type, and back."""
+    weights = _weights(spark, sf_dir)
+    coded = [weights.select("x", "y", "region", F.lit(k).alias("kind"), unnormalise_to(F.col("mask"), k).alias("code")).withColumn("value", normalise_from(F.col("code"), k)) for k in INTEGERS]
+    return reduce(DataFrame.unionByName, coded)
+
+
 STRETCH_SQL = f"{BLEND_SQL}, ends AS (SELECT min(value) AS lo, max(value) AS hi FROM blended)"
 
 

@@ -11,7 +11,15 @@ from cellwise.schema import RegionfieldMeta, check_complete, resolve_window
 
 from grid_rows import rows
 
-FIELD = ["02121232", "03022330", "03230301", "03103202", "02331113", "02311232"]
+# A field of regions and the counts in neighbourhoods that must come out.
+FIELD = [
+    [0, 2, 1, 2, 1, 2, 3, 2],
+    [0, 3, 0, 2, 2, 3, 3, 0],
+    [0, 3, 2, 3, 0, 3, 0, 1],
+    [0, 3, 1, 0, 3, 2, 0, 2],
+    [0, 2, 3, 3, 1, 1, 1, 3],
+    [0, 2, 3, 1, 1, 2, 3, 2],
+]
 META = RegionfieldMeta(6, 8, 4)
 EXPECTED = {(2, 3): [3, 5, 8, 9], (2, 4): [5, 6, 6, 8], (2, 5): [5, 5, 7, 8], (3, 3): [3, 5, 7, 10], (3, 4): [5, 6, 5, 9], (3, 5): [5, 6, 6, 8]}
 LATTICE = {(2, 3): [0, 1, 4, 4], (2, 4): [2, 4, 1, 2], (2, 5): [0, 2, 3, 4], (3, 3): [1, 1, 4, 3], (3, 4): [2, 2, 1, 4], (3, 5): [2, 1, 5, 1]}
@@ -20,7 +28,7 @@ OFFSET_LATTICE = {(2, 3): [0, 0, 1, 3], (2, 4): [1, 1, 1, 1], (2, 5): [2, 0, 1,
 
 @pytest.fixture(scope="module")
 def field(spark):
-    return spark.createDataFrame([(x, y, int(c)) for x, line in enumerate(FIELD) for y, c in enumerate(line)], "x int, y int, region int").cache()
+    return spark.createDataFrame([(x, y, c) for x, line in enumerate(FIELD) for y, c in enumerate(line)], "x int, y int, region int").cache()
 
 
 def as_rows(expected, norm):
@@ -68,6 +76,23 @@ def test_windows_outside_the_grid(meta, offset, extent):
         resolve_window(meta, 2, offset, extent)
 
 
+def test_running_sums_take_no_holes(field):
+    holed = field.where("x <> 3 OR y <> 3")
+    with pytest.raises(ValueError, match="holes"):
+        splat(holed, META, Full(2, "prefix"), (2, 3), (2, 3))
+    assert rows(splat(holed, META, Full(2, "tile"), (2, 3), (2, 3))) == rows(splat(holed, META, Full(2, "scatter"), (2, 3), (2, 3)))
+
+
+@pytest.mark.parametrize("cores", [1, 4, 64])
+def test_tiles_leave_no_core_idle(cores):
+    from cellwise.operators.occupancy import tile_size
+    from cellwise.schema import Window
+
+    size = tile_size(Window((136, 136), (512, 512)), 136, cores)
+    assert 272 <= size <= 1088 and (cores == 1 or (-(-512 // size)) ** 2 >= 4)
+    assert tile_size(Window((2, 2), (20_000, 20_000)), 2, 64) == 128
+
+
 def test_incomplete_grids(field):
     check_complete(field, META)
     with pytest.raises(ValueError):

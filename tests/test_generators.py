@@ -10,7 +10,7 @@ from cellwise.plans import profile
 from cellwise.plans.api import DiamondSquare, Full, Uniform, Voronoi, generate, splat
 from cellwise.schema import RegionfieldMeta, check_complete
 from cellwise.sources.tables import read_field, read_results, write_field, write_masks, write_results
-from cellwise.streaming.kernels import start_kernels
+from cellwise.streaming.kernels import compact, read_kernels, start_kernels
 
 from grid_rows import rows
 
@@ -105,6 +105,8 @@ def test_stream(spark, tmp_path):
     deltas = spark.createDataFrame([(0, 1, "inc", 5), (0, 1, "dec", 2), (0, 2, "dec", 1)], "k int, region int, op string, amount long")
     deltas.write.parquet(f"{tmp_path}/d")
     stream = spark.readStream.schema(deltas.schema).parquet(f"{tmp_path}/d")
-    query = start_kernels(stream, ["k"], "kernels", f"{tmp_path}/c")
+    query = start_kernels(stream, ["k"], f"{tmp_path}/kernels", f"{tmp_path}/c")
     query.awaitTermination(60)
-    assert rows(spark.table("kernels")) == [(0, 1, 3)]
+    assert rows(read_kernels(spark, f"{tmp_path}/kernels", ["k"])) == [(0, 1, 3)]
+    compact(spark, f"{tmp_path}/kernels", ["k"], f"{tmp_path}/compact")
+    assert rows(read_kernels(spark, f"{tmp_path}/compact", ["k"])) == [(0, 1, 3)]
