@@ -18,7 +18,7 @@ DIGEST = r"(?<!(?i:commit|revision|rev|sha|sha-?1|sha-?256|sha-?512|md5|hash|dig
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|" + DIGEST + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?![A-Za-z0-9])",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[0-9a-fA-F]{32})" + DIGEST + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?!\.?[0-9])",
     "ssn": r"(?<![0-9\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9\-])",
