@@ -43,7 +43,7 @@ FAMILY = {
 
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds: texts without it are not searched further.
-HINT = r"[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}|Mr|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Mme|Se\x{F1}or|Sr|Dr|Prof|\x{413}\x{43E}\x{441}\x{43F}\x{43E}"
+HINT = r"[0-9@]|(?=[AMSHFDP\x{413}])(?:AKIA|M(?:r|s|iss|adam|onsieur|me)|S(?:ir|r|e\x{F1}or)|Herr|Frau|Dr|Prof|\x{413}\x{43E}\x{441}\x{43F}\x{43E})|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}"
 #: Digits of the keyed stream for one character, and how many characters it serves before it repeats.
 DIGITS, SERVES = 3, 85
 
@@ -276,14 +276,21 @@ def replace_pii(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "
     joined = whole.join(broadcast_if_small(maps, typed.count()), F.col("k") == F.col("_k"), "left")
     t, put = F.col("t"), F.col("put")
 
-    def rewritten(pattern: Column) -> Column:
-        def put_in(surfaces: Column) -> Column:
+    def put_in(pattern: Column) -> Callable[[Column], Column]:
+        def done(surfaces: Column) -> Column:
             pieces = F.transform(F.split(t, pattern, -1), lambda s, i: F.when(i < F.size(surfaces), F.concat(s, F.coalesce(put[F.get(surfaces, i)], F.get(surfaces, i)))).otherwise(s))
             return F.struct(F.array_join(pieces, "").alias("text"), F.size(F.filter(surfaces, lambda m: put[m].isNotNull())).cast("long").alias("n"))
 
-        return _let(_matches(t, pattern), put_in)
+        return done
 
-    again = _let(F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)), lambda f: _let(_pattern(_titled(f)), rewritten))
+    def rewritten(first: Column) -> Column:
+        def by_titles(titled: Column) -> Column:
+            again = _let(_pattern(titled), lambda pattern: _let(_matches(t, pattern), put_in(pattern)))
+            return F.when(F.size(titled) == 0, put_in(F.lit(ANY))(first)).otherwise(again)
+
+        return _let(_titled(first), by_titles)
+
+    again = _let(F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)), rewritten)
     done = joined.select("row", F.when(put.isNull(), F.struct(t.alias("text"), F.lit(0).cast("long").alias("n"))).otherwise(again).alias("done"))
     columns = [F.col("done.text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
     return done.select(*columns, *([F.col("done.n").alias(count)] if count else []))
