@@ -73,6 +73,62 @@ class Config:
         return cls(**{k: convert[type(cls.__dataclass_fields__[k].default)](v) for k, v in given.items()})
 
 
+def parse_yaml(text: str):
+    """Nested mappings, lists in brackets, numbers and words: the part of YAML that configurations of profiles use."""
+    root: dict = {}
+    open_: list[tuple[int, dict]] = [(-1, root)]
+    for line in text.splitlines():
+        body = line.split(" #")[0].rstrip()
+        if not body.strip() or body.lstrip().startswith("#") or body.strip() in ("---", "..."):
+            continue
+        indent, (key, colon, value) = len(body) - len(body.lstrip()), body.strip().partition(":")
+        if not colon:
+            raise ValueError(f"neither a mapping nor a comment: {line!r}")
+        while open_[-1][0] >= indent:
+            open_.pop()
+        if value.strip():
+            open_[-1][1][key.strip()] = _scalar(value.strip())
+        else:
+            inner: dict = {}
+            open_[-1][1][key.strip()] = inner
+            open_.append((indent, inner))
+    return root
+
+
+def _scalar(text: str):
+    if text[0] == "[" and text[-1] == "]":
+        return [_scalar(x.strip()) for x in text[1:-1].split(",") if x.strip()]
+    try:
+        return int(text, 0)
+    except ValueError:
+        try:
+            return float(text)
+        except ValueError:
+            return text.strip("'\"")
+
+
+def config_from_yaml(text: str) -> Config:
+    """A profile's configuration: seed, and a "parameter set" of "default" and "stress" with "fixed" and "variable" parts, whose
+    spans have from, to and step (how many). Affinity masks have no meaning here."""
+    given = parse_yaml(text)
+    sets = given["parameter set"]
+    fixed, variable, stress = sets["default"]["fixed"], sets["default"]["variable"], sets["stress"]
+    span = lambda x: Span(x["from"], x["to"], int(x["step"]))
+    return Config(
+        seed=int(given["seed"]),
+        extent=pair(fixed["extent"]),
+        radius=int(fixed["radius"]),
+        regions=int(fixed["region count"]),
+        centroids=int(fixed["centroid count"]),
+        radii=span(variable["radius"]),
+        region_counts=span(variable["region count"]),
+        centroid_counts=span(variable["centroid count"]),
+        stress_extent=pair(stress["fixed"]["extent"]),
+        stress_regions=int(stress["fixed"]["region count"]),
+        stress_radii=span(stress["variable"]["radius"]),
+    )
+
+
 def _grid(extent: tuple[int, int], radius: int, regions: int) -> RegionfieldMeta:
     """A grid that has `extent` centres at the radius."""
     return RegionfieldMeta(extent[0] + 2 * radius, extent[1] + 2 * radius, regions)

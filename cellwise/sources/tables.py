@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from cellwise.operators.blend import union_of
 from cellwise.operators.raster import with_tiles
 
-#: Codecs by the names that options use.
-COMPRESSION = {"none": "uncompressed", "lzw": "snappy", "snappy": "snappy", "zstd": "zstd"}
+#: Parquet's codecs by the names that options use. LZW is TIFF's alone.
+COMPRESSION = {"none": "uncompressed", "snappy": "snappy", "zstd": "zstd"}
+
+
+def codec(name: str) -> str:
+    if name not in COMPRESSION:
+        raise ValueError(f"tables are not compressed by {name!r}, but by one of {sorted(COMPRESSION)}")
+    return COMPRESSION[name]
 
 
 def field_from(df: DataFrame, index: Column, height: int, region: Column) -> DataFrame:
@@ -21,7 +27,7 @@ def field_from(df: DataFrame, index: Column, height: int, region: Column) -> Dat
 
 def write_field(field: DataFrame, path: str, tile: tuple[int, int] = (512, 512), compression: str = "zstd") -> None:
     """Parquet partitioned by tiles, which readers of a window prune."""
-    with_tiles(field, tile).write.mode("overwrite").option("compression", COMPRESSION[compression]).partitionBy("tile_x", "tile_y").parquet(path)
+    with_tiles(field, tile).write.mode("overwrite").option("compression", codec(compression)).partitionBy("tile_x", "tile_y").parquet(path)
 
 
 def read_field(spark: SparkSession, path: str, tile: tuple[int, int] = (512, 512), window: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -35,13 +41,28 @@ def read_field(spark: SparkSession, path: str, tile: tuple[int, int] = (512, 512
 
 def write_masks(masks: Mapping[str, DataFrame], path: str, compression: str = "zstd") -> None:
     """Masks of several algorithms, partitioned by algorithm and region."""
-    union_of(masks).write.mode("overwrite").option("compression", COMPRESSION[compression]).partitionBy("algorithm", "region").parquet(path)
+    union_of(masks).write.mode("overwrite").option("compression", codec(compression)).partitionBy("algorithm", "region").parquet(path)
+
+
+#: The columns of the index of results, as they are named at rest.
+INDEX = {"job_id": "job id", "title": "job title", "generator": "regionfield generator name", "splatting": "splatting name", "container": "container trait tag", "tag": "custom tag"}
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Profile results as CSV with a header, a folder for each job."""
-    results.write.mode("overwrite").option("header", True).partitionBy("job_id").csv(path)
+    """Profile results as CSV with a header, a folder for each job; milliseconds with two decimals, kB with none."""
+    shown = results.select("job_id", "variable", F.format_string("%.2f", "t_median").alias("t_median"), F.format_string("%d", "memory").alias("memory"))
+    shown.write.mode("overwrite").option("header", True).partitionBy("job_id").csv(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema("variable int, t_median double, memory long, job_id long").csv(path)
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """The index of results as CSV with a header."""
+    index.select(*(F.col(c).alias(name) for c, name in INDEX.items())).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    schema = ", ".join(f"`{name}` {'long' if c == 'job_id' else 'string'}" for c, name in INDEX.items())
+    return spark.read.option("header", True).schema(schema).csv(path).withColumnsRenamed({name: c for c, name in INDEX.items()})

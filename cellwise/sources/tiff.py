@@ -22,14 +22,85 @@ from cellwise.schema import RegionfieldMeta
 # TIFF's numbers of tags, types and codecs, and the tags of region counts and algorithms.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, ORIENTATION, SAMPLES, PAGE_NAME, COLORMAP = 256, 257, 258, 259, 262, 274, 277, 285, 320
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT, DEPTH, TILE_DEPTH = 322, 323, 324, 325, 339, 32997, 32998
+STRIP_OFFSETS, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 278, 279, 284, 317
 REGION_COUNT, ALGORITHM = 18007, 29716
 ASCII, SHORT, LONG = 2, 3, 4
 TYPES = {1: "B", ASCII: "c", SHORT: "H", LONG: "I"}
-CODECS = {"none": 1, "deflate": 8, "zstd": 50000}
+CODECS = {"none": 1, "lzw": 5, "deflate": 8, "zstd": 50000}
+#: LZW's codes for an empty table and the end, and the first of strings.
+CLEAR, END, FIRST = 256, 257, 258
 LEFT_TOP, PALETTE, BLACK_IS_ZERO = 5, 3, 1
 
 
+def lzw_compress(data: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, the highest bit first; a code gets longer one entry before its table needs it."""
+    out, held, bits = bytearray(), 0, 0
+    table = {bytes([i]): i for i in range(256)}
+    width, following, prefix = 9, FIRST, b""
+
+    def put(code: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+        held &= (1 << bits) - 1
+
+    put(CLEAR)
+    for i in range(len(data)):
+        longer = prefix + data[i : i + 1]
+        if longer in table:
+            prefix = longer
+            continue
+        put(table[prefix])
+        table[longer] = following
+        following += 1
+        width = max(width, following.bit_length())
+        if following == 4094:
+            put(CLEAR)
+            table, width, following = {bytes([j]): j for j in range(256)}, 9, FIRST
+        prefix = data[i : i + 1]
+    if prefix:
+        put(table[prefix])
+        following += 1
+        width = max(width, following.bit_length())
+    put(END)
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
+def lzw_expand(data: bytes) -> bytes:
+    out, held, bits, at = bytearray(), 0, 0, 0
+    table, width, last = [], 9, b""
+    while True:
+        while bits < width:
+            if at >= len(data):
+                return bytes(out)
+            held, bits, at = held << 8 | data[at], bits + 8, at + 1
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == END:
+            return bytes(out)
+        if code == CLEAR:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code < len(table):
+            string = table[code]
+        elif last and code == len(table):
+            string = last + last[:1]
+        else:
+            raise ValueError("LZW code out of order")
+        out += string
+        if last:
+            table.append(last + string[:1])
+        last = string
+        width = max(9, min(12, (len(table) + 1).bit_length()))
+
+
 def _compress(data: bytes, codec: int, level: int = 3) -> bytes:
+    if codec == CODECS["lzw"]:
+        return lzw_compress(data)
     if codec == CODECS["zstd"]:
         import zstandard
 
@@ -42,8 +113,10 @@ def _expand(data: bytes, codec: int) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompress(data)
-    if codec == CODECS["deflate"]:
+    if codec in (CODECS["deflate"], 32946):  # its number now and before
         return zlib.decompress(data)
+    if codec == CODECS["lzw"]:
+        return lzw_expand(data)
     if codec != CODECS["none"]:
         raise ValueError(f"compression {codec}")
     return data
@@ -57,9 +130,9 @@ def _packed(tile: np.ndarray, bits: int) -> bytes:
     return np.packbits(spread.reshape(*tile.shape[:-1], -1).astype(np.uint8), axis=-1).tobytes()
 
 
-def _unpacked(data: bytes, rows: int, columns: int, bits: int) -> np.ndarray:
+def _unpacked(data: bytes, rows: int, columns: int, bits: int, order: str = "<") -> np.ndarray:
     if bits >= 8:
-        return np.frombuffer(data, dtype="<u2" if bits == 16 else "u1", count=rows * columns).reshape(rows, columns)
+        return np.frombuffer(data, dtype=f"{order}u2" if bits == 16 else "u1", count=rows * columns).reshape(rows, columns)
     one = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(rows, -1), axis=1)[:, : columns * bits]
     return one.reshape(rows, columns, bits) @ (1 << np.arange(bits - 1, -1, -1))
 
@@ -107,33 +180,43 @@ def encode(directories: list[tuple[np.ndarray, dict[int, tuple[int, list]]]], bi
 
 
 def decode(data: bytes) -> Iterator[tuple[np.ndarray, dict[int, list]]]:
-    """(images, tags) of each directory; raises for what is no little-endian, tiled, unsigned one-sample TIFF."""
-    if data[:4] != b"II*\0":
-        raise ValueError("not a little-endian TIFF")
-    (at,) = struct.unpack_from("<I", data, 4)
+    """(images, tags) of each directory; raises for what is no TIFF of tiles or strips with unsigned samples of up to 16 bits.
+
+    Either byte order. images: depth x rows x columns, and a fourth axis where a pixel has several samples.
+    """
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        raise ValueError("not a TIFF")
+    order = "<" if data[:1] == b"I" else ">"
+    (at,) = struct.unpack_from(f"{order}I", data, 4)
     while at:
-        (n,) = struct.unpack_from("<H", data, at)
+        (n,) = struct.unpack_from(f"{order}H", data, at)
         tags: dict[int, list] = {}
         for i in range(n):
-            tag, kind, count = struct.unpack_from("<HHI", data, at + 2 + 12 * i)
+            tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * i)
             if kind not in TYPES:
                 continue
-            form = f"<{count}{TYPES[kind]}"
+            form = f"{order}{count}{TYPES[kind]}"
             place = at + 10 + 12 * i
             if struct.calcsize(form) > 4:
-                (place,) = struct.unpack_from("<I", data, place)
+                (place,) = struct.unpack_from(f"{order}I", data, place)
             tags[tag] = list(struct.unpack_from(form, data, place))
-        if TILE_OFFSETS not in tags or tags.get(SAMPLES, [1])[0] != 1 or tags.get(SAMPLE_FORMAT, [1])[0] != 1:
-            raise ValueError("not tiled, or not of one unsigned sample")
-        rows, columns, bits, depth = tags[LENGTH][0], tags[WIDTH][0], tags[BITS][0], tags.get(DEPTH, [1])[0]
-        tall, wide = tags[TILE_LENGTH][0], tags[TILE_WIDTH][0]
-        images = np.zeros((depth, rows, columns), dtype=np.uint16)
+        samples = tags.get(SAMPLES, [1])[0]
+        if not tags.keys() & {TILE_OFFSETS, STRIP_OFFSETS} or any(x != 1 for x in tags.get(SAMPLE_FORMAT, [1])) or len(set(tags.get(BITS, [1]))) > 1 or tags.get(BITS, [1])[0] > 16:
+            raise ValueError("neither tiles nor strips, or not of unsigned samples of 16 bits at most")
+        if samples > 1 and tags.get(PLANAR, [1])[0] != 1 or tags.get(PREDICTOR, [1])[0] != 1:
+            raise ValueError("planes apart, or a predictor")
+        rows, columns, bits, depth = tags[LENGTH][0], tags[WIDTH][0], tags.get(BITS, [1])[0], tags.get(DEPTH, [1])[0]
+        tiled = TILE_OFFSETS in tags
+        tall, wide = (tags[TILE_LENGTH][0], tags[TILE_WIDTH][0]) if tiled else (min(rows, tags.get(ROWS_PER_STRIP, [rows])[0]), columns)
+        images = np.zeros((depth, rows, columns, samples), dtype=np.uint16)
         places = [(z, y, x) for z in range(depth) for y in range(0, rows, tall) for x in range(0, columns, wide)]
-        for (z, y, x), offset, size in zip(places, tags[TILE_OFFSETS], tags[TILE_BYTES], strict=True):
-            tile = _unpacked(_expand(data[offset : offset + size], tags[COMPRESSION][0]), tall, wide, bits)
+        offsets, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+        for (z, y, x), offset, size in zip(places, offsets, sizes, strict=True):
+            high = tall if tiled else min(tall, rows - y)
+            tile = _unpacked(_expand(data[offset : offset + size], tags.get(COMPRESSION, [1])[0]), high, wide * samples, bits, order).reshape(high, wide, samples)
             images[z, y : y + tall, x : x + wide] = tile[: rows - y, : columns - x]
-        yield images, tags
-        (at,) = struct.unpack_from("<I", data, at + 2 + 12 * n)
+        yield images[..., 0] if samples == 1 else images, tags
+        (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
 
 
 def _origin(tags: dict[int, list]) -> tuple[int, int]:

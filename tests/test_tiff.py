@@ -23,7 +23,7 @@ def test_codec(bits, codec, height, width, depth):
 
 
 def test_other_bytes():
-    for data in (b"", b"MM\0*", b"II*\0\x08\0\0\0\0\0\0\0\0\0"):
+    for data in (b"", b"MM*\0", b"II*\0\x08\0\0\0\0\0\0\0\0\0"):
         with pytest.raises(ValueError):
             list(tiff.decode(data))
 
