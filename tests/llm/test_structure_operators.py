@@ -434,3 +434,28 @@ def test_pipeline(spark, data_dir):
     assert set(private) == set(clean) and not any(detected(r["text"]) & detected(clean[d]["text"]) for d, r in private.items())
     assert all(r["n_chars"] == len(r["text"] or "") for r in private.values()) and set(packed) == set(private)
     assert pipeline.run(spark, data_dir).count() == seen[-1].count()
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_edges(spark, data_dir, tmp_path, some):
+    """Nulls, empty texts, ties, repeated rows, an id with unlike texts and columns with names that stages use; and an empty table."""
+    import corpus_pipeline as pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, k string, _key int, hit string, row int, _found string, component long, words int, done int"
+    unlike = [(8, "another text under this id, which has nothing in common with the others and must stay where it is"), (None, None), (None, "a row that has no id and is like no other row in all of this small table")]
+    rows = [(i, t, "en", None if i == 5 else "s", len(t or ""), "k", 1, "h", 2, "f", 3, 4, 5) for i, t in [*EDGES, *unlike]]
+    docs = spark.createDataFrame(rows if some else [], names)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{data_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    now, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{k}-{name}")
+        now = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+        kept.append(now.count())
+        assert k == 4 or now.columns == docs.columns
+    assert kept[4] >= kept[3] == kept[2] <= kept[1] <= kept[0] <= len(rows) * some
+    if some:
+        judged = [r["text"] for r in spark.read.parquet(f"{tmp_path}/0-quality").collect()]
+        single = [r["text"] for r in spark.read.parquet(f"{tmp_path}/1-near_duplicates").collect()]
+        assert sorted(set(judged) - {None, "", "   \n\t "}) == sorted(t for t in single if t and t.split())
