@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, near-duplicates, benchmark passages, personal data, packing."""
+"""The corpus pipeline: quality, near-duplicates, benchmark passages, personal data, packing.
+
+Every stage judges each row by its own text: rows with null ids, empty or null texts and repeated rows are rows like any
+other, further columns may have any names and come through, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -17,28 +21,28 @@ from cellwise.llm.simhash import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; rows that agree in id and text share their fate."""
     return accepted(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more. All texts without words are copies of each other."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten words of a benchmark item in a row, or all of a shorter one, go."""
+    """Documents with ten words of a benchmark item in a row, or all of a shorter one, go; texts without words stay."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become surrogates; n_chars follows the text."""
+    """Personal data become surrogates; n_chars follows the text. Null texts stay null."""
     replaced = replace_pii(docs, pii_key(spark))
     return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences of at most 2048 tokens."""
+    """The pieces of all documents, in sequences of at most 2048 tokens; a null text is empty, so one separator."""
     return pack(docs, tokenizer_path())
 
 
