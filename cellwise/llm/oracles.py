@@ -38,4 +38,4 @@ SHARDING = f"""
     h AS (SELECT r, doc_id, key, octet_length(body) + 8 AS size, list_transform(range(octet_length(body)), lambda i: CAST('0x' || substr(hex(body[i + 1:i + 1]), 1, 2) AS BIGINT)) AS b FROM d),
     s AS (SELECT r, doc_id, key, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) AS text_crc32, {_shard(24)} AS shard, {_shard(25)} AS grown_shard FROM h, crc_table)
     SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, grown_shard,
-        row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(key), 1, 13) AS BIGINT), doc_id NULLS LAST, size, text_crc32) - 1 AS slot FROM s"""
+        row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(key), 1, 13) AS BIGINT), text_crc32, doc_id NULLS LAST, size) - 1 AS slot FROM s"""

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import broadcast_if_small, unsigned_crc32
+from cellwise.llm.common import broadcast_if_small, durable, unsigned_crc32
 
 #: 52 bits of an MD5 digest make a fraction that a double holds exactly.
 HASH_HEX, HASH_SPAN = 13, float(1 << 52)
@@ -33,30 +33,65 @@ def rendezvous_shard(key: Column, weights: Mapping[int, float]) -> Column:
     return (-best["order"]).cast("int")
 
 
-def number_within(df: DataFrame, group: str, groups: int, key: str, ties: list[str], slot: str, rows_per_bucket: int = 50_000) -> DataFrame:
-    """Adds `slot`: numbers 0, 1, 2, ... within each value of `group`, (of which there are `groups` at most), in
-    order of the key's MD5, then the key and `ties`.
+#: Digests are counted by their first bits, to find keys that a great many rows share.
+FIRST_BITS = 12
 
-    One group may hold any share of the rows, so it is cut into ranges of the digest of about `rows_per_bucket` rows. Their
-    counts, one row each, give every range its first number; slots do not depend on how many there are. Rows equal in the
-    key and all ties are interchangeable.
+
+def _crowds(keys: DataFrame, total: int, counts: dict[int, int], rows_per_bucket: int) -> DataFrame | None:
+    """(m, subs) of each digest that over `rows_per_bucket` rows share: how many parts they are cut into. None if there is none.
+
+    keys: m, the digests. Only those are counted one by one whose first bits are too frequent.
+    """
+    full = [first for first, n in counts.items() if n > rows_per_bucket and n > 2 * total >> FIRST_BITS]
+    if not full:
+        return None
+    each = keys.where(F.shiftright("m", 52 - FIRST_BITS).isin(full)).groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_bucket)
+    crowds = durable(each.select("m", F.ceil(F.col("n") / rows_per_bucket).alias("subs")))
+    return None if crowds.isEmpty() else crowds
+
+
+def number_within(df: DataFrame, group: str, groups: int, key: str, spread: str, ties: list[str], slot: str, rows_per_bucket: int = 50_000) -> DataFrame:
+    """Adds `slot`: numbers 0, 1, 2, ... within each value of `group` (of which there are `groups` at most), in order of
+    the key's MD5, then `spread`, the key and `ties`.
+
+    spread: a column of 32 evenly spread bits. One group may hold any share of the rows, so it is cut into ranges of the
+    digest of about `rows_per_bucket` rows, and a key that more rows share (such as null) into ranges of `spread`. Counts,
+    one row for each range, give every range its first number; slots do not depend on the ranges. Rows equal in all of
+    these are interchangeable. df may have any columns.
     """
-    total = df.count()
-    buckets = max(1, -(-total // rows_per_bucket))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     mixed = F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_HEX), 16, 10).cast("long")
-    cut = df.withColumn("_mixed", mixed).withColumn("_bucket", F.shiftright(F.shiftright("_mixed", 22) * F.lit(buckets).cast("long"), 30))
-    counts = cut.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    keys = df.select(mixed.alias("m"))
+    counts = {r["first"]: r["n"] for r in keys.groupBy(F.shiftright("m", 52 - FIRST_BITS).alias("first")).agg(F.count("*").alias("n")).collect()}  # 4096 rows at most
+    total = sum(counts.values())
+    buckets = max(1, -(-total // rows_per_bucket))
+    bucket = lambda m: F.shiftright(F.shiftright(m, 22) * F.lit(buckets).cast("long"), 30)
+    whole = df.select(F.struct("*").alias("row"), F.col(group).alias("g"), mixed.alias("m"), F.col(spread).cast("long").alias("spread"), F.col(key).alias("key"), *(F.col(t).alias(f"tie{i}") for i, t in enumerate(ties)))
+    cut = whole.withColumn("bucket", bucket(F.col("m")))
+    crowds = _crowds(keys, total, counts, rows_per_bucket)
+    if crowds is None:
+        cut = cut.withColumns({"segment": F.lit(0), "sub": F.lit(0).cast("long")})
+    else:
+        # Crowds of a bucket in order: the rows between them are even segments, they are the odd ones.
+        listed = crowds.groupBy(bucket(F.col("m")).alias("crowded_bucket")).agg(F.array_sort(F.collect_list(F.struct("m", "subs"))).alias("crowds"))
+        cut = cut.join(broadcast_if_small(listed, -(-total // rows_per_bucket)), F.col("bucket") == F.col("crowded_bucket"), "left")
+        own = F.filter("crowds", lambda c: c["m"] == F.col("m"))
+        before = F.coalesce(F.size(F.filter("crowds", lambda c: c["m"] < F.col("m"))), F.lit(0))
+        crowded = F.coalesce(F.size(own) > 0, F.lit(False))
+        cut = cut.withColumns({"segment": F.when(F.col("crowds").isNull(), 0).otherwise(2 * before + crowded.cast("int")), "sub": F.when(crowded, F.shiftright(F.col("spread") * F.get(own, F.lit(0))["subs"], 32)).otherwise(F.lit(0))})
+    at = ("g", "bucket", "segment", "sub")
+    sizes = cut.groupBy(*at).agg(F.count("*").alias("n"))
     # A window per group over one row for each range: rows / rows_per_bucket of them.
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    local = Window.partitionBy(group, "_bucket").orderBy("_mixed", F.col(key).asc_nulls_last(), *ties)
-    numbered = cut.withColumn("_local", F.row_number().over(local) - 1)
-    joined = numbered.join(broadcast_if_small(first, buckets * groups), (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn(slot, (F.col("_first") + F.col("_local")).cast("long")).drop("_mixed", "_bucket", "_g", "_b", "_first", "_local")
+    before = Window.partitionBy("g").orderBy("bucket", "segment", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*(F.col(c).alias(f"_{c}") for c in at), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    local = Window.partitionBy(*at).orderBy("m", "spread", F.col("key").asc_nulls_last(), *(f"tie{i}" for i in range(len(ties))))
+    numbered = cut.withColumn("local", F.row_number().over(local) - 1)
+    same = [F.col(c) == F.col(f"_{c}") for c in at]
+    joined = numbered.join(broadcast_if_small(first, 3 * buckets * groups), same[0] & same[1] & same[2] & same[3])
+    return joined.select("row.*", (F.col("first") + F.col("local")).cast("long").alias(slot))
 
 
-def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: Mapping[int, float] | None = None, grow_by: float | None = 1.0) -> DataFrame:
+def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", weights: Mapping[int, float] | None = None, grow_by: float | None = 1.0, rows_per_bucket: int = 50_000) -> DataFrame:
     """key, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     weights: shard number to weight; 24 equal shards if not given. grow_by: the weight of one more shard, which
@@ -74,7 +109,7 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", weig
         rendezvous_shard(F.col(key), weights).alias("shard"),
         (rendezvous_shard(F.col(key), weights | {max(weights) + 1: grow_by}) if grow_by else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    numbered = number_within(out, "shard", len(weights), key, ["size", "text_crc32"], "slot")
+    numbered = number_within(out, "shard", len(weights), key, "text_crc32", ["size"], "slot", rows_per_bucket)
     return numbered.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -172,6 +172,18 @@ def test_sharding(edges, none, documents, spark):
     assert assign_shards(none).count() == 0
 
 
+@pytest.mark.parametrize("rows_per_bucket", [50_000, 40])
+def test_slots_in_order(spark, rows_per_bucket):
+    """A key that a third of the rows share is cut, and all slots are as one sort would give them."""
+    rows = [(None if i % 3 == 0 else i % 7 if i % 5 == 0 else i, f"text {i * 7919 % 1000}") for i in range(1500)]
+    got = assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_bucket=rows_per_bucket).collect()
+    order = lambda r: (hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:13], r["text_crc32"], r["doc_id"] is None, r["doc_id"] or 0, r["size"])
+    for shard in {r["shard"] for r in got}:
+        own = sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(len(own))) and list(map(order, own)) == sorted(map(order, own))
+    assert len(got) == len(rows)
+
+
 def test_shards_follow_weights(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     n = {r["shard"]: r["count"] for r in assign_shards(docs, weights={0: 1.0, 1: 3.0}).groupBy("shard").count().collect()}
@@ -566,3 +578,18 @@ def test_columns_may_have_any_names(spark):
     docs = spark.createDataFrame([(1, "write to a.b@mail.example.com", 5, "x", 7)], "doc_id long, text string, k long, put string, row long")
     got = replace_pii(docs, "k", count="t").first()
     assert got.asDict().keys() == {"doc_id", "text", "k", "put", "row", "t"} and (got["k"], got["put"], got["row"], got["t"]) == (5, "x", 7, 1) and "a.b@" not in got["text"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql_gives_the_same_rows(spark, data_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data_dir}/{table}.parquet'")
+    expected = con.execute(queries.ORACLE_SQL[name]).fetchdf()
+    got = queries.QUERIES[name](spark, data_dir).toPandas()
+    columns = sorted(got.columns)
+    assert sorted(expected.columns) == columns
+    as_rows = lambda df: sorted(map(repr, zip(*(df[c].tolist() for c in columns), strict=True)))
+    assert as_rows(got) == as_rows(expected)
