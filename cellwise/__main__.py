@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import argparse
-import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.functions.quantise import promoted, quantise_u16
+from cellwise.functions.rng import default_seed
 from cellwise.operators.blend import ALGORITHMS, blend, quantised
 from cellwise.plans import api, sweeps
 from cellwise.schema import RegionfieldMeta, centred_window
@@ -81,7 +81,7 @@ def _spec(given: argparse.Namespace) -> api.Splatter:
 def run(spark: SparkSession, given: argparse.Namespace) -> None:
     """Runs one command; a seed that is not given is taken from the clock."""
     if getattr(given, "seed", 0) is None:
-        given.seed = time.time_ns() % (1 << 63)
+        given.seed = default_seed()
     if given.command == "regionfield":
         meta = RegionfieldMeta(*given.resolution, given.regions)
         generator = {"uniform": lambda: api.Uniform(), "voronoi": lambda: api.Voronoi(given.centroids), "diamond_square": lambda: api.DiamondSquare(given.initial_extent, given.iterations)}[given.generator]()

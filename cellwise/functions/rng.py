@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def default_seed() -> int:
+    """A seed from the clock, for those who give none."""
+    return time.time_ns() % (1 << 63)
+
+
 def hash_u32(seed: int, tag: str, *keys: Column | int) -> Column:
     """32 random bits (as a long) of the keys: the first 8 hex digits of MD5 over 'seed:tag:key:...'."""
     parts = [F.lit(str(seed)), F.lit(tag), *(k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys)]

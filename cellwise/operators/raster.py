@@ -28,6 +28,12 @@ def extent(field: DataFrame) -> DataFrame:
     return field.agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.count("*").alias("cells"))
 
 
+def extremes(field: DataFrame, height: int) -> DataFrame:
+    """One row: the lowest and highest region, and the first cell of the lowest, counted in columns of `height`, x outer."""
+    cell = F.col("x").cast("long") * height + F.col("y")
+    return field.agg(F.min("region").alias("lowest"), F.max("region").alias("highest"), F.min_by(cell, F.struct("region", cell)).alias("first_lowest"))
+
+
 def equal(a: DataFrame, b: DataFrame, regions: tuple[int, int] | None = None) -> DataFrame:
     """One row: whether two grids have the same cells, each as often, and the same number of regions, if both are given.
 

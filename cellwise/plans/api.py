@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwise.functions.rng import default_seed
 from cellwise.operators import coefficients, occupancy, sampling
 from cellwise.operators.blend import blend
 from cellwise.operators.generators import DiamondSquare, Generator, Uniform, Voronoi
@@ -67,8 +68,9 @@ SPLATTERS = {"full": Full, "systematic": Systematic, "stratified": Stratified, "
 GENERATORS = {"uniform": Uniform, "voronoi": Voronoi, "diamond_square": DiamondSquare}
 
 
-def generate(spark: SparkSession, meta: RegionfieldMeta, generator: Generator, seed: int) -> DataFrame:
-    return generator(spark, meta, seed)
+def generate(spark: SparkSession, meta: RegionfieldMeta, generator: Generator, seed: int | None = None) -> DataFrame:
+    """A grid; equal seeds give equal grids, none one from the clock."""
+    return generator(spark, meta, default_seed() if seed is None else seed)
 
 
 def splat(field: DataFrame, meta: RegionfieldMeta, spec: Splatter, offset: tuple[int, int] | None = None, extent: tuple[int, int] | None = None, shape: str = "long", relative: bool = False) -> DataFrame:

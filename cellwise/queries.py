@@ -324,8 +324,7 @@ def kernel_inc_dec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RF_SQL} SELECT min(region) AS lowest, max(region) AS highest, CAST(min(CASE WHEN region = 0 THEN x * {H} + y END) AS BIGINT) AS first_lowest FROM rf")
 def field_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = F.col("x").cast("long") * H + F.col("y")
-    return rf(spark, sf_dir).agg(F.min("region").alias("lowest"), F.max("region").alias("highest"), F.min_by(cell, F.struct("region", cell)).alias("first_lowest"))
+    return raster.extremes(rf(spark, sf_dir), H)
 
 
 ROW_COUNTS_SQL = f"{RF_SQL}, n AS (SELECT x, region, count(*) AS n FROM rf GROUP BY ALL), spine AS (SELECT x, r AS region FROM (SELECT DISTINCT x FROM rf), range(8) t(r)), dense AS (SELECT s.x, s.region, coalesce(n, 0) AS n FROM spine s LEFT JOIN n USING (x, region))"

@@ -6,7 +6,9 @@ palette images with as few bits a sample as their regions need; masks have a dir
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -266,17 +268,22 @@ def mask_files(masks: DataFrame, meta: RegionfieldMeta, block: int = 1024, codec
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Writes (name, content) to a folder that all executors share, a file for each row; a task that runs again writes the same."""
+    """Writes (name, content) to a folder, a file for each row; a task that runs again writes the same.
+
+    folder: a path that all executors share, or an address of a file system that Arrow knows (file:, hdfs:, s3:, gs:).
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
+        from pyarrow import fs
 
-        Path(folder).mkdir(parents=True, exist_ok=True)
+        system, path = fs.FileSystem.from_uri(folder) if re.match(r"[a-z][a-z0-9+]*:", folder) else (fs.LocalFileSystem(), folder)
+        system.create_dir(path, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
-                part = Path(folder) / f".{name}"
-                part.write_bytes(content)
-                part.replace(Path(folder) / name)
+                part = f"{path}/.{name}-{uuid.uuid4().hex}"  # attempts that run at once do not meet
+                with system.open_output_stream(part) as out:
+                    out.write(bytes(content))
+                system.move(part, f"{path}/{name}")
             yield pdf[["name"]]
 
     files.mapInPandas(write, "name string").count()

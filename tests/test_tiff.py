@@ -32,6 +32,7 @@ def test_files(spark, tmp_path):
     meta = RegionfieldMeta(37, 29, 5)
     field = generate(spark, meta, Uniform(), 3).cache()
     tiff.write_files(tiff.field_files(field, meta, 16), f"{tmp_path}/f")
+    tiff.write_files(tiff.field_files(field, meta, 16), f"file://{tmp_path}/f")  # again, by an address
     assert rows(tiff.field_from_files(tiff.read_files(spark, f"{tmp_path}/f"))) == rows(field)
     masks = splat(field, meta, Full(1)).select(F.lit(0).alias("algorithm"), "region", "x", "y", quantise_u16(F.col("importance"), 9).alias("code"))
     assert rows(tiff.masks_from_files(tiff.mask_files(masks, meta, 16))) == rows(masks)
