@@ -49,6 +49,26 @@ def broadcast_if_small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= bound else df
 
 
+#: A key of so many rows at least is joined by a broadcast, and so splits.
+HEAVY = 1_000
+
+
+def join_by_weight(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Inner join of `left` and `right`, which has each value of `key` once, in `_key`, and in `_n` how many rows of left have it.
+
+    rows: those of left, or more. Keys of HEAVY rows or more (of more, where there are very many rows) are a small table
+    by their number, BROADCAST_ROWS at most, which every task holds; only the rows of the others are shuffled, so no key
+    fills a task. The result has left's columns and right's others.
+    """
+    heavy = max(HEAVY, -(-rows // BROADCAST_ROWS))
+    others = [c for c in right.columns if c not in ("_key", "_n")]
+    hot = F.broadcast(right.where(F.col("_n") >= heavy).select(F.col("_key").alias("_hot"), F.struct(*others).alias("_found")))
+    looked = left.join(hot, F.col(key) == F.col("_hot"), "left")
+    found = looked.where("_hot IS NOT NULL").select(*left.columns, *(F.col(f"_found.{c}").alias(c) for c in others))
+    cold = looked.where("_hot IS NULL").select(left.columns)
+    return found.unionByName(cold.join(right.where(F.col("_n") < heavy), F.col(key) == F.col("_key")).select(*left.columns, *others))
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """16 bytes that rows share which agree in id and text; a null text counts as empty, a null id as one of its own."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary")))

@@ -5,39 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import BROADCAST_ROWS, durable
-
-#: A node of so many edges at least is joined by a broadcast, and so splits.
-HEAVY = 1_000
-
-
-def _with_smallest(edges: DataFrame, smallest: DataFrame, end: str, heavy: int) -> DataFrame:
-    """edges (u, v) with `m` of the node at `end`; smallest: (node, m, n), n its edges.
-
-    Nodes of `heavy` edges are a small table by their number (two for each `heavy` edges at most), so every task holds
-    it; only the edges of the others are shuffled, and no key has `heavy` of them.
-    """
-    hot = F.broadcast(smallest.where(F.col("n") >= heavy).select(F.col("node").alias("_hot"), F.col("m").alias("_m")))
-    looked = edges.join(hot, F.col(end) == F.col("_hot"), "left")
-    cold = looked.where("_hot IS NULL").select("u", "v").join(smallest.where(F.col("n") < heavy).select("node", "m"), F.col(end) == F.col("node")).select("u", "v", "m")
-    return looked.where("_hot IS NOT NULL").select("u", "v", F.col("_m").alias("m")).unionByName(cold)
+from cellwise.llm.common import durable, join_by_weight
 
 
 def _smallest(pairs: DataFrame, least: Column) -> DataFrame:
-    return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("n")).select("node", least.alias("m"), "n")
+    """`m` of each node in `u`: the smallest of its `v`, or what else `least` says."""
+    return pairs.groupBy(F.col("u").alias("_key")).agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("_key", least.alias("m"), "_n")
 
 
-def _large_star(edges: DataFrame, heavy: int) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node links its larger neighbours to the smallest of itself and its neighbours."""
-    smallest = _smallest(edges.union(edges.select("v", "u")), F.least("node", "m"))
-    return _with_smallest(edges, smallest, "v", heavy).select("u", F.col("m").alias("v")).distinct()
+    smallest = _smallest(edges.union(edges.select("v", "u")), F.least("_key", "m"))
+    return join_by_weight(edges, smallest, "v", 2 * n).select("u", F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, heavy: int) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of these."""
     smallest = _smallest(edges, F.col("m"))
-    others = _with_smallest(edges, smallest, "u", heavy).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.union(smallest.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct()
+    others = join_by_weight(edges, smallest, "u", n).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.union(smallest.select(F.col("_key").alias("u"), F.col("m").alias("v"))).distinct()
 
 
 def smallest_reachable(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -53,8 +39,7 @@ def smallest_reachable(edges: DataFrame, a: str = "a", b: str = "b", rounds: int
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen or not state[0]:
             break
-        heavy = max(HEAVY, -(-2 * state[0] // BROADCAST_ROWS))
-        seen, now = state, durable(_small_star(durable(_large_star(now, heavy)), heavy))
+        seen, now = state, durable(_small_star(durable(_large_star(now, state[0])), state[0]))
     else:
         raise RuntimeError(f"components are not settled after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import broadcast_if_small, durable, row_key
+from cellwise.llm.common import broadcast_if_small, durable, join_by_weight, row_key
 from cellwise.llm.components import smallest_reachable
 
 SEED = 42
@@ -453,15 +453,19 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), key.alias("k"), F.col(text).alias("text"))
     prints = durable(slim.mapInArrow(lambda b: _print_batches(b, shingle), "id long, k binary, words binary, bits binary"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "k")
-    grouped = prints.groupBy("words").agg(F.min(order).alias("best"), F.first("bits").alias("bits"))
+    grouped = prints.groupBy("words").agg(F.min(order).alias("best"), F.first("bits").alias("bits"), F.count("*").alias("n"))
     classes = durable(grouped.withColumn("node", F.monotonically_increasing_id()))
     component = similar_classes(classes.select("node", F.col("best.k").alias("k"), "bits"), slim.select("k", "text"), shingle, similarity, block)
-    labelled = classes.select(F.col("node").alias("_node"), "words", "best").join(broadcast_if_small(component, component.count()), F.col("node") == F.col("_node"), "left")
-    labelled = labelled.select(F.col("words").alias("_words"), "best", F.coalesce("component", "_node").alias("component"))
-    winners = labelled.groupBy(F.col("component").alias("_component")).agg(F.min("best").alias("stays"))
-    stays = labelled.join(winners, F.col("component") == F.col("_component")).select("_words", F.col("stays.k").alias("stays"))
-    rows = prints.groupBy("k", "words").agg(F.count("*").alias("n")).join(stays, F.col("words") == F.col("_words"))
-    flags = durable(rows.select(F.col("k").alias("_k"), (F.col("k") != F.col("stays")).alias("gone"), "n").where("gone OR n > 1").select("_k", "gone"))
+    linked = component.count()
+    named = broadcast_if_small(component.withColumnRenamed("node", "_node"), linked)
+    with_best = durable(classes.join(named, F.col("node") == F.col("_node")).select("words", "best", "component"))
+    winners = with_best.groupBy(F.col("component").alias("_key")).agg(F.min("best").alias("stays"), F.count("*").alias("_n"))
+    led = join_by_weight(with_best, winners, "component", linked).select(F.col("words").alias("_words"), F.col("stays.k").alias("leader"))
+    # Classes that are alone keep their best row, the others that of their component.
+    stays = classes.join(broadcast_if_small(led, linked), F.col("words") == F.col("_words"), "left").select(F.col("words").alias("_key"), F.coalesce("leader", "best.k").alias("stays"), F.col("n").alias("_n"))
+    rows = prints.groupBy("k", "words").agg(F.count("*").alias("n"))
+    told = join_by_weight(rows, stays, "words", prints.count())
+    flags = durable(told.select(F.col("k").alias("_k"), (F.col("k") != F.col("stays")).alias("gone"), "n").where("gone OR n > 1").select("_k", "gone"))
     whole = docs.select(F.struct("*").alias("row"), key.alias("k"))  # names of docs' columns clash with none of ours
     marked = whole.join(broadcast_if_small(flags, flags.count()), F.col("k") == F.col("_k"), "left")
     several = marked.where("NOT gone").groupBy("k").agg(F.min_by("row", F.to_json("row")).alias("row"))
