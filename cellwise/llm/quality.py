@@ -70,19 +70,27 @@ class Model:
         return np.clip(z @ self.weights[:-1] + self.weights[-1], -12, 12)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, word_ridge: float = 100.0, rounds: int = 30) -> Model:
-    """Logistic regression by Newton steps, with a stronger ridge for words than for counts; without both classes, all weights are zero."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, word_ridge: float = 100.0, rounds: int = 30, at_once: int = 1024) -> Model:
+    """Logistic regression by Newton steps, with a stronger ridge for words than for counts; without both classes, all weights are zero.
+
+    Rows are widened `at_once` at a time, so the driver holds little beside x itself.
+    """
     k = len(COUNTS) + BUCKETS
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(k + 1), np.zeros(k), np.ones(k))
-    x = x.astype(np.float64)
-    means, scales = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    z = np.c_[np.clip((x - means) / scales, -4, 4), np.ones(len(x))]
+    parts = [slice(at, at + at_once) for at in range(0, len(x), at_once)]
+    means = sum(x[p].sum(axis=0, dtype=np.float64) for p in parts) / len(x)
+    scales = np.maximum(np.sqrt(sum(((x[p] - means) ** 2).sum(axis=0) for p in parts) / len(x)), 1e-3)
     w = np.zeros(k + 1)
     penalty = np.r_[np.full(len(COUNTS), ridge), np.full(BUCKETS, word_ridge), 1e-6]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        slope, curve = -penalty * w, np.diag(penalty)
+        for part in parts:
+            z = np.c_[np.clip((x[part] - means) / scales, -4, 4), np.ones(len(x[part]))]
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope += z.T @ (y[part] - p)
+            curve += (z * (p * (1 - p))[:, None]).T @ z
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -131,9 +139,12 @@ def _judged(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, host: st
     chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     texts = slim.join(F.broadcast(chosen), F.col("id") == F.col("labelled"))  # `sample` rows at most
     one = texts.select("labelled", "y", "t").mapInArrow(_feature_batches, f"labelled {slim.schema['id'].dataType.simpleString()}, y double, x binary").groupBy("labelled").agg(F.min("y").alias("y"), F.min("x").alias("x"))
-    rows = sorted(((r["labelled"], r["y"], bytes(r["x"])) for r in one.collect()), key=lambda r: repr(r[0]))  # `sample` rows of a KB
-    x = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.float16).reshape(-1, len(COUNTS) + BUCKETS)
-    model = fit(x, np.array([float(r[1] > 0) for r in rows]))
+    got = one.select(F.col("labelled").cast("string").alias("labelled"), "y", "x").toArrow()  # `sample` rows of a KB
+    order = np.argsort(np.array(got.column("labelled").to_pylist(), dtype=object), kind="stable")
+    x = np.frombuffer(b"".join(v.as_buffer() for chunk in got.column("x").chunks for v in chunk), dtype=np.float16).reshape(-1, len(COUNTS) + BUCKETS)[order]
+    y = (got.column("y").to_numpy() > 0)[order].astype(np.float64)
+    del got
+    model = fit(x, y)
 
     schema = f"id {slim.schema['id'].dataType.simpleString()}, k binary, host string, path string, logit double"
     scored = durable(slim.mapInArrow(lambda b: _logit_batches(b, model), schema).withColumn("p", 1 / (1 + F.exp(-F.col("logit")))))
