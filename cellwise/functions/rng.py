@@ -36,8 +36,3 @@ def uniform_int(bits: Column, n: int) -> Column:
     if n < 1:
         raise ValueError(f"nothing to choose from: {n}")
     return F.pmod(bits, F.lit(n)).cast("int")
-
-
-def uniform_between(bits: Column, begin: int, width: int) -> Column:
-    """One of begin .. begin + width - 1, by multiplication."""
-    return (F.lit(begin) + F.shiftright(bits * F.lit(width).cast("long"), 32)).cast("int")

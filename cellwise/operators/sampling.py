@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.functions.rng import hash_u32, uniform_between, uniform_int
+from cellwise.functions.rng import hash_u32, uniform_int
 from cellwise.operators.occupancy import diametre, in_tiles, scatter, tile_size, within
 from cellwise.schema import RegionfieldMeta, Window
 
@@ -68,14 +68,19 @@ def stratified(field: DataFrame, meta: RegionfieldMeta, window: Window, radius:
     if strata < 1:
         raise ValueError(f"{strata} strata")
     d = diametre(radius)
-    bounds = [(i * d // strata, max(1, (i + 1) * d // strata - i * d // strata)) for i in range(strata)]
     x0, y0 = F.col("x") - radius, F.col("y") - radius
+    part = lambda v: F.floor(v * d / F.lit(strata)).cast("int")
 
-    def place(axis: int, i: int, j: int) -> Column:
-        begin, width = bounds[(i, j)[axis]]
-        return F.least(uniform_between(hash_u32(seed, f"{TAG}:stratified", x0, y0, i, j, axis), begin, width), F.lit(d - 1))
+    def place(i: Column, j: Column, axis: int) -> Column:
+        begin, end = part((i, j)[axis]), part((i, j)[axis] + 1)
+        bits = hash_u32(seed, f"{TAG}:stratified", x0, y0, i, j, axis)
+        return F.least(begin + F.shiftright(bits * F.greatest(end - begin, F.lit(1)), 32).cast("int"), F.lit(d - 1))
 
-    steps = F.array(*(place(0, i, j) * d + place(1, i, j) for i in range(strata) for j in range(strata)))
+    def step(k: Column) -> Column:
+        i, j = F.floor(k / F.lit(strata)).cast("int"), k % strata
+        return place(i, j, 0) * d + place(i, j, 1)
+
+    steps = F.transform(F.sequence(F.lit(0), F.lit(strata * strata - 1)), step)
     return _at_samples(field, window, radius, steps), strata * strata
 
 
