@@ -6,6 +6,7 @@ import re
 import tempfile
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +34,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellwise-"))
 
 
+def release_native(spark: SparkSession) -> bool:
+    """Gives native memory that the driver's JVM has freed back to the system; False where the JVM knows no such command.
+
+    Each plan runs in threads of its own (exchanges, broadcasts, compilers), and what these free stays with the allocator's
+    arenas, of which there are eight for each core; after some hundred plans that is as much as a small heap.
+    """
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    args = new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    kinds = new_array(jvm.java.lang.Class, 4)
+    for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = of(kind)
+    try:
+        # By the interface: the server's own class is not open to reflection.
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in the shared checkpoint folder, so that a lost executor loses none of it."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    release_native(df.sparkSession)
+    return kept
 
 
 def ascii_lower(text: Column) -> Column:
