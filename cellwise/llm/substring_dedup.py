@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,11 @@ from cellwise.llm.common import durable, ensure_checkpoint_dir
 from cellwise.llm.suffix_array import permuted_prefixes, suffix_array
 
 GRAM = 16
+#: For windows of WIDE bytes at least: unlike texts share few grams of this size, however many texts there are.
+LONG_GRAM, WIDE = 24, 48
+#: Odd factors and what is mixed in, for each word of a gram.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
+MIXED = (0, 0x632BE59BD9B4E019, 0xE7037ED1A0B428DB)
 TEXT_AT_ONCE = 1 << 18
 #: Buckets of the table of classes at most; Spark allows 100,000. Shards and parts have no such bound.
 MOST_BUCKETS = 50_000
@@ -31,15 +35,23 @@ STRIP = 80
 NO_ID = (1 << 63) - 1
 
 
+def gram_size(width: int) -> int:
+    """Bytes of a gram, a multiple of 8."""
+    return LONG_GRAM if width >= WIDE else GRAM
+
+
 def window_minima(text: np.ndarray, width: int) -> np.ndarray:
     """For each window of `width` bytes the smallest hash of its grams."""
-    n = len(text) - GRAM + 1
+    gram = gram_size(width)
+    n = len(text) - gram + 1
     words = np.ndarray((len(text) - 7,), dtype="<u8", buffer=text, strides=(1,))
-    h = words[:n] * np.uint64(0x9E3779B97F4A7C15) + (words[GRAM - 8 :] ^ np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = words[:n] * np.uint64(FACTORS[0])
+    for k in range(1, gram // 8):
+        h += (words[8 * k : 8 * k + n] ^ np.uint64(MIXED[k])) * np.uint64(FACTORS[k])
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    span, covered = width - GRAM + 1, 1
+    span, covered = width - gram + 1, 1
     while 2 * covered <= span:
         h = np.minimum(h[: len(h) - covered], h[covered:])
         covered *= 2
@@ -253,8 +265,7 @@ def _shared_strips(own: pa.Table, shared: pa.Table, width: int, parts: int) -> p
         split = np.concatenate((np.ones(len(plain), dtype=np.int64), _joined(shared.column("splits"), "<u4").astype(np.int64)))
         wanted, at = np.unique(np.concatenate((plain, full)), return_index=True)
         split = split[at]
-        seen: dict[int, dict[bytes, int]] = defaultdict(dict)
-        places: dict[int, list[tuple]] = defaultdict(list)
+        found = []
         for at, some in _some(texts):
             of, first, n, value = strips(some, width)
             key = _keys((value % np.uint64(parts)).astype(np.int64), _short(value, parts))
@@ -265,15 +276,17 @@ def _shared_strips(own: pa.Table, shared: pa.Table, width: int, parts: int) -> p
             if crowded.any():
                 cut = _windows(some, of[crowded], first[crowded], sizes[crowded], value[crowded], splits[crowded], width)
                 of, first, sizes, value = (np.concatenate((x[~crowded], y)) for x, y in zip((of, first, sizes, value), cut, strict=True))
-            for q, i in _split_by((value % np.uint64(parts)).astype(np.int64)):
-                known = seen[q]
-                strings = [known.setdefault(some[t][a : a + z], len(known)) for t, a, z in zip(of[i].tolist(), first[i].tolist(), sizes[i].tolist(), strict=True)]
-                places[q].append((np.array(strings, dtype="<u4"), (at + of[i]).astype("<u4"), first[i].astype("<u4")))
-        for q, known in seen.items():
-            strings, rows_of, starts = (np.concatenate(x) for x in zip(*places[q], strict=True))
+            found.append(((at + of).astype("<u4"), first.astype("<u4"), sizes.astype("<u4"), value))
+        of, first, sizes, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        # Dealt out once for the bucket: shards are as many as its own share of all is small.
+        for q, i in _split_by((value % np.uint64(parts)).astype(np.int64)):
+            known: dict[bytes, int] = {}
+            rows_of, starts = of[i], first[i]
+            strings = np.array([known.setdefault(texts[t][a : a + z], len(known)) for t, a, z in zip(rows_of.tolist(), starts.tolist(), sizes[i].tolist(), strict=True)], dtype="<u4")
             present, which = np.unique(rows_of, return_inverse=True)
-            sizes = np.fromiter(map(len, known), dtype="<u4", count=len(known))
-            rows.append((q, bucket, _squeezed(b"".join(known)), sizes.tobytes(), strings.tobytes(), _blob(which, "<u4"), starts.tobytes(), _blob(numbers[present], "<u4"), _blob(firsts[present], "<i8")))
+            lengths = np.fromiter(map(len, known), dtype="<u4", count=len(known))
+            rows.append((q, bucket, _squeezed(b"".join(known)), lengths.tobytes(), strings.tobytes(), _blob(which, "<u4"), starts.tobytes(), _blob(numbers[present], "<u4"), _blob(firsts[present], "<i8")))
     return _columns(rows, 2, list(STRIPS))
 
 
