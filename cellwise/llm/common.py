@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterable
@@ -63,6 +64,30 @@ def durable(df: DataFrame) -> DataFrame:
     return kept
 
 
+#: Entries up to which an operator remembers values in a worker process.
+REMEMBERED = 200_000
+
+_MEMORIES: list[dict] = []
+
+
+def memory() -> dict:
+    """A dictionary for what an operator remembers in a worker process from task to task."""
+    _MEMORIES.append(found := {})
+    return found
+
+
+def only(kept: dict) -> None:
+    """Empties the memories of other operators than the one of `kept`, and gives what they held back to the system.
+
+    A worker process serves task after task, of whatever stage, so on an executor all memories would add up.
+    """
+    others = [m for m in _MEMORIES if m and m is not kept]
+    for m in others:
+        m.clear()
+    if others and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc has it
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import durable
+from cellwise.llm.common import REMEMBERED, durable, memory, only
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space that a chunk boundary before a space would cut: such texts are encoded whole.
@@ -86,11 +86,11 @@ class Encoder:
 
     A byte-level BPE never merges over a boundary before a single space, so a text is split there and each chunk's ids are
     remembered; texts with longer runs of white space or an added token's string are encoded whole. New chunks are merged
-    by the file's own vocabulary as ranks, which takes half the time. Files of another kind encode all texts whole. The
-    memory is emptied at `most` chunks.
+    by the file's own vocabulary as ranks, which takes half the time. Files of another kind encode all texts whole. Chunks
+    of 64 characters or more are not remembered, and the memory is emptied at `most` chunks.
     """
 
-    def __init__(self, tokenizer_path: str, most: int = 500_000):
+    def __init__(self, tokenizer_path: str, most: int = REMEMBERED):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -124,13 +124,17 @@ class Encoder:
             except KeyError:
                 if len(known) > self.most:
                     known.clear()
-                for chunk in set(chunks).difference(known):
+                new = set(chunks).difference(known)
+                for chunk in new:
                     known[chunk] = self._ids(chunk)
                 out.append(b"".join(map(known.__getitem__, chunks)))
+                for chunk in new:
+                    if len(chunk) >= 64:
+                        del known[chunk]
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = memory()
 
 
 def encoder(tokenizer_path: str) -> Encoder:
@@ -147,6 +151,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer_path: str, capacity: int, separator: int, texts_at_once: int = 256) -> Iterator[pa.RecordBatch]:
+    only(_ENCODERS)
     encode, end = encoder(tokenizer_path).encode, np.array([separator], dtype="<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, texts_at_once):

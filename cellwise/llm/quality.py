@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import broadcast_if_small, durable, fresh, row_key
+from cellwise.llm.common import REMEMBERED, broadcast_if_small, durable, fresh, memory, only, row_key
 
 # Signs that prose uses rarely.
 SIGNS = b"%$&*#|<>{}[]=~^\\_"
@@ -25,7 +25,7 @@ BUCKETS = 512
 #: Words without what is no letter or digit, so that signs stuck to words do not make new ones.
 PLAIN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-_BUCKET_OF: dict[bytes, int] = {}
+_BUCKET_OF: dict[bytes, int] = memory()
 
 
 def _buckets(words: list[bytes]) -> np.ndarray:
@@ -33,7 +33,7 @@ def _buckets(words: list[bytes]) -> np.ndarray:
     try:
         return np.fromiter(map(_BUCKET_OF.__getitem__, words), dtype=np.int64, count=len(words))
     except KeyError:
-        if len(_BUCKET_OF) > 500_000:
+        if len(_BUCKET_OF) > REMEMBERED:
             _BUCKET_OF.clear()
         found = [_BUCKET_OF[w] if w in _BUCKET_OF else zlib.crc32(w) % BUCKETS for w in words]
         _BUCKET_OF.update((w, b) for w, b in zip(words, found, strict=True) if len(w) < 64)
@@ -98,12 +98,14 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, word_ridge: float = 10
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only(_BUCKET_OF)
     for batch in batches:
         rows = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["labelled", "y", "x"])
 
 
 def _logit_batches(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    only(_BUCKET_OF)
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)

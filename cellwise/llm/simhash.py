@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import broadcast_if_small, durable, join_by_weight, row_key
+from cellwise.llm.common import REMEMBERED, broadcast_if_small, durable, join_by_weight, memory, only, row_key
 from cellwise.llm.components import smallest_reachable
 
 SEED = 42
 FAN = 16  # children of a node
-PAIRS_AT_ONCE = 4096
+PAIRS_AT_ONCE = 1024  # pairs of nodes; each gives up to FAN * FAN pairs of children
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -273,7 +273,7 @@ def wide_masks(similarity: float, texts: int) -> tuple[np.ndarray, int]:
     return places, min(CARRIED, int(CARRIED * p + 4.6 * np.sqrt(CARRIED * p * (1 - p))) + 1)
 
 
-_WORDS: dict[bytes, int] = {}
+_WORDS: dict[bytes, int] = memory()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -281,7 +281,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     try:
         return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     except KeyError:
-        if len(_WORDS) > 500_000:
+        if len(_WORDS) > REMEMBERED:
             _WORDS.clear()
         found = [_WORDS[w] if w in _WORDS else xxhash.xxh64_intdigest(w, SEED) for w in words]
         _WORDS.update((w, h) for w, h in zip(words, found, strict=True) if len(w) < 64)
@@ -322,6 +322,7 @@ def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _print_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    only(_WORDS)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -352,6 +353,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Itera
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    only(_WORDS)
     for batch in batches:
         sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "component", "shingles"])
